@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..constants import BM25_B, BM25_K1, RRF_K
 from ..functions.numbers import rounded
 from ..functions.text import words
-from .topk import TopK, WeightedTerms
+from ..session import broadcast_if_small, settled
+from .topk import SCAN_QUERIES, TopK, WeightedTerms
 
 _CORPUS = ""  # stands for the corpus itself in the word statistics; no word is empty
 
@@ -20,19 +21,24 @@ def word_statistics(docs: DataFrame, text: str = "text", vocabulary: DataFrame |
     """Per word: number of texts that hold it. The empty word carries the number of texts and of all words.
 
     One pass: words repeat at most once per text before they are counted, and counting combines on the map side.
-    A vocabulary (column ``term``) restricts the words before they are counted.
+    A vocabulary (column ``term``) restricts the words: before counting if it is small enough to send to the tasks,
+    otherwise after, when every word is one row.
     """
     tokens = docs.select(words(F.col(text)).alias("tokens"))
     each = tokens.select(
         F.explode(F.array_append(F.array_distinct("tokens"), F.lit(_CORPUS))).alias("term"),
         F.size("tokens").alias("length"),
     )
-    if vocabulary is not None:
-        each = each.join(vocabulary, "term", "left_semi")
-    return each.groupBy("term").agg(
+    wanted = None if vocabulary is None else broadcast_if_small(vocabulary, "term")
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    counted = each.groupBy("term").agg(
         F.count(F.lit(1)).alias("texts"),
         F.sum(F.when(F.col("term") == _CORPUS, F.col("length")).otherwise(0)).alias("total_words"),
     )
+    if vocabulary is not None and wanted is None:
+        counted = counted.join(vocabulary, "term", "left_semi")
+    return counted
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -60,7 +66,7 @@ def bm25(
     k1: float = BM25_K1,
     b: float = BM25_B,
     score_name: str = "score",
-    scan_queries: int | None = None,
+    scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Top ``k`` texts per query by BM25: query id, doc id, kept columns, score (4 digits), rank.
 
@@ -68,7 +74,7 @@ def bm25(
     """
     terms = query_terms(queries, query_id, query_text)
     vocabulary = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(_CORPUS,)], ["term"]))
-    statistics = word_statistics(docs, text, vocabulary).persist()
+    statistics = settled(word_statistics(docs, text, vocabulary), "word-statistics")
     corpus = statistics.where(F.col("term") == _CORPUS).first()
     total, average = (corpus["texts"], corpus["total_words"] / corpus["texts"]) if corpus else (0, 1.0)
     idf = F.log1p((F.lit(float(total)) - F.col("texts") + 0.5) / (F.col("texts") + 0.5))
@@ -81,7 +87,7 @@ def bm25(
     job = TopK(
         items, _as_query_rows(weighted), payload, lambda q: WeightedTerms(q, saturation), k, query_id, score_name
     )
-    return job.run() if scan_queries is None else job.run(scan_queries)
+    return job.run(scan_queries)
 
 
 def shared_terms(

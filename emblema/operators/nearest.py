@@ -3,36 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import INDEX_FROM_ROWS, MAX_CELLS, ROWS_PER_CELL
 from ..functions.numbers import rounded
-from ..functions.vectors import as_double, unit
+from ..functions.vectors import unit
 from ..schema import VECTOR_COLUMNS
-from .topk import Cosine, CosineInCells, TopK, dense
+from .topk import SCAN_QUERIES, Cosine, CosineInCells, TopK, dense, few_rows, usable_vectors
 
 TRAINING_ROWS_PER_CELL = 256
+ROWS_PER_FILE = 1_000_000
 
 
 def _usable(vector: Column, dim: int) -> Column:
     return (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
 
 
-def _dimension(queries: DataFrame, vector: str) -> int:
-    row = queries.where(F.size(vector) > 0).select(F.size(vector)).first()
-    return row[0] if row else 0
-
-
-def _query_side(queries: DataFrame, query_id: str, query_vector: str, dim: int, *extra: str) -> DataFrame:
-    return queries.where(_usable(F.col(query_vector), dim)).select(
+def _query_side(queries: DataFrame, query_id: str, query_vector: str, scan_queries: int, *extra: str):
+    """Queries under the names the kernels read, their vector size, and their rows if these are few."""
+    named = queries.where(F.size(query_vector) > 0).select(
         F.col(query_id).alias("_query"), F.col(query_vector).alias("_query_vector"), *extra
     )
+    head = few_rows(named, scan_queries)
+    if head is None:
+        dim = named.select(F.size("_query_vector")).first()[0]
+    else:
+        dim = len(head.column("_query_vector")[0]) if head.num_rows else 0
+        head = usable_vectors(head, "_query_vector", dim)
+    return named.where(_usable(F.col("_query_vector"), dim)), dim, head
 
 
 def nearest(
@@ -48,29 +53,30 @@ def nearest(
     where: Column | None = None,
     prefilter: bool = True,
     score_name: str = "similarity_score",
-    scan_queries: int | None = None,
+    scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Top ``k`` rows of the register per query by cosine: query id, kept columns, score (4 digits), rank.
 
     ``where`` filters before the top k is taken, or with ``prefilter=False`` after it, which can leave fewer rows.
     Rows whose vector is missing, of another size or of length zero take no part.
     """
-    keep = [c for c in register.columns if c not in VECTOR_COLUMNS and c != vector] if keep is None else list(keep)
-    dim = _dimension(queries, query_vector)
-    rows = register if where is None or not prefilter else register.where(where)
-    if where is not None and not prefilter:
-        rows = rows.withColumn("_passes", where)
-        keep = [*keep, "_passes"]
+    keep = _kept(register, vector, keep)
+    asked, dim, head = _query_side(queries, query_id, query_vector, scan_queries)
+    after = where is not None and not prefilter
+    rows = register if where is None or after else register.where(where)
+    if after:
+        rows, keep = rows.withColumn("_passes", where), [*keep, "_passes"]
     items = rows.where(_usable(F.col(vector), dim)).select(
         F.col(item_id).alias("_item"), F.col(vector).alias("_vector"), *keep
     )
-    job = TopK(
-        items, _query_side(queries, query_id, query_vector, dim), ["_item", *keep], Cosine, k, query_id, score_name
-    )
-    found = job.run() if scan_queries is None else job.run(scan_queries)
-    if where is not None and not prefilter:
-        found = found.where("_passes").drop("_passes")
-    return found
+    found = TopK(items, asked, ["_item", *keep], Cosine, k, query_id, score_name, head=head).run(scan_queries)
+    return found.where("_passes").drop("_passes") if after else found
+
+
+def _kept(register: DataFrame, vector: str, keep: Sequence[str] | None) -> list[str]:
+    if keep is not None:
+        return list(keep)
+    return [c for c in register.columns if c not in (*VECTOR_COLUMNS, vector, "cell")]
 
 
 def cells_for(rows: int) -> int:
@@ -110,10 +116,45 @@ def _unit_matrix(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length > 0, length, 1.0)
 
 
-def write_clustered(register: DataFrame, path: str, *, item_id: str = "id", files_per_cell: int = 1) -> None:
-    """Stores the register by cell, so a search reads only the cells it probes. A big cell spreads over more files."""
-    salt = F.pmod(F.xxhash64(item_id), F.lit(files_per_cell))
-    register.repartition("cell", salt).write.mode("overwrite").partitionBy("cell").parquet(path)
+@dataclass(frozen=True)
+class CellIndex:
+    """The register stored by cell, and the cell centres."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    vector: str
+
+
+def build_index(
+    register: DataFrame, path: str, *, item_id: str = "id", vector: str = "text_vector", cells: int | None = None
+) -> CellIndex:
+    """Trains cells, assigns every row and writes the register by cell, so a search reads only the cells it probes.
+
+    A cell is spread over files of bounded size by a hash of the id, however large it is.
+    """
+    rows = register.count()
+    centres = train_cells(register, vector=vector, cells=cells or cells_for(rows), rows=rows)
+    assigned = assign_cells(register, centres, vector=vector).where(F.col("cell").isNotNull())
+    # one number per cell, so its length is the number of cells
+    sizes = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}
+    files = F.array(*[F.lit(-(-sizes.get(cell, 0) // ROWS_PER_FILE)) for cell in range(len(centres))])
+    part = F.pmod(F.xxhash64(item_id), F.get(files, F.col("cell")))
+    assigned.repartition("cell", part).write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/rows")
+    spark = register.sparkSession
+    spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>"
+    ).write.parquet(f"{path}/centres")
+    return open_index(spark, path, vector=vector)
+
+
+def open_index(spark: SparkSession, path: str, *, vector: str = "text_vector") -> CellIndex:
+    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    return CellIndex(spark.read.parquet(f"{path}/rows"), np.array([r["centre"] for r in centres]), vector)
+
+
+def ensure_index(register: DataFrame, path: str, **options) -> CellIndex | None:
+    """An index from 10,000 rows on; below that a scan is good enough and there is none."""
+    return build_index(register, path, **options) if register.count() >= INDEX_FROM_ROWS else None
 
 
 def with_probes(queries: DataFrame, centres: np.ndarray, nprobe: int, *, query_vector: str = "query_vector") -> DataFrame:
@@ -129,44 +170,46 @@ def with_probes(queries: DataFrame, centres: np.ndarray, nprobe: int, *, query_v
 
 
 def nearest_in_cells(
-    clustered: DataFrame,
+    index: CellIndex,
     queries: DataFrame,
-    centres: np.ndarray,
     k: int,
     nprobe: int,
     *,
     item_id: str = "id",
-    vector: str = "text_vector",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     keep: Sequence[str] | None = None,
     score_name: str = "similarity_score",
-    scan_queries: int | None = None,
+    scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Top ``k`` among the ``nprobe`` cells nearest to each query, by exact cosine. All cells probed = ``nearest``."""
-    keep = [c for c in clustered.columns if c not in (*VECTOR_COLUMNS, vector, "cell")] if keep is None else list(keep)
-    dim = centres.shape[1]
+    keep = _kept(index.rows, index.vector, keep)
+    dim = index.centres.shape[1]
     usable = queries.where(_usable(F.col(query_vector), dim))
-    probing = _query_side(
-        with_probes(usable, centres, nprobe, query_vector=query_vector), query_id, query_vector, dim, "_probes"
+    probing = with_probes(usable, index.centres, nprobe, query_vector=query_vector)
+    asked, _, head = _query_side(probing, query_id, query_vector, scan_queries, "_probes")
+    rows = index.rows
+    if nprobe < len(index.centres):
+        # at most one number per cell
+        probed = asked.select(F.explode("_probes").alias("cell")).distinct().collect()
+        rows = rows.where(F.col("cell").isin([r["cell"] for r in probed]))
+    items = rows.select(
+        F.col(item_id).alias("_item"), F.col(index.vector).alias("_vector"), F.col("cell").alias("_cell"), *keep
+    )
+    job = TopK(
+        items, asked, ["_item", *keep], CosineInCells, k, query_id, score_name, cells=len(index.centres), head=head
     )
-    rows = clustered.where(F.col("cell").isNotNull())
-    if nprobe < len(centres):
-        probed = [r[0] for r in probing.select(F.explode("_probes")).distinct().collect()]
-        rows = rows.where(F.col("cell").isin(probed))
-    items = rows.select(F.col(item_id).alias("_item"), F.col(vector).alias("_vector"), F.col("cell").alias("_cell"), *keep)
-    job = TopK(items, probing, ["_item", *keep], CosineInCells, k, query_id, score_name, cell="_cell")
-    return job.run() if scan_queries is None else job.run(scan_queries)
-
-
-def search_vectors(register: DataFrame, queries: DataFrame, k: int, *, mode: str = "auto", nprobe: int = 32, **names):
-    """Exact below 10,000 rows and through cells from there on, unless ``mode`` says ``exact`` or ``cells``."""
-    rows = register.count() if mode != "exact" else 0
-    if mode == "exact" or (mode == "auto" and rows < INDEX_FROM_ROWS):
+    return job.run(scan_queries)
+
+
+def search_vectors(
+    register: DataFrame, queries: DataFrame, k: int, *, index: CellIndex | None = None, nprobe: int = 32, **names
+) -> DataFrame:
+    """Through the index if there is one, else exact over the register."""
+    if index is None:
         return nearest(register, queries, k, **names)
-    vector = names.get("vector", "text_vector")
-    centres = train_cells(register, vector=vector, cells=cells_for(rows), rows=rows)
-    return nearest_in_cells(assign_cells(register, centres, vector=vector), queries, centres, k, nprobe, **names)
+    names.pop("vector", None)
+    return nearest_in_cells(index, queries, k, nprobe, **names)
 
 
 def recall(approximate: DataFrame, exact: DataFrame, *, query_id: str = "query_id", item_id: str = "id") -> DataFrame:
@@ -178,9 +221,3 @@ def recall(approximate: DataFrame, exact: DataFrame, *, query_id: str = "query_i
         .groupBy(query_id)
         .agg(rounded(F.count("_hit") / F.count(F.lit(1)), 4).alias("recall"))
     )
-
-
-def cosine_by_row(df: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
-    from ..functions.vectors import cosine
-
-    return df.withColumn(name, rounded(cosine(as_double(F.col(a)), as_double(F.col(b))), 4))

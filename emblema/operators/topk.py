@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 SCAN_QUERIES = 4096
 SCAN_BYTES = 64 << 20
-ITEMS_PER_BLOCK = 50_000
+ITEMS_PER_BLOCK = 16_384
 QUERIES_PER_BLOCK = 2048
 SCORES_AT_ONCE = 4_000_000
 DIGITS = 10_000.0
@@ -172,6 +172,12 @@ class WeightedTerms:
         return np.where(touched, total, np.nan).reshape(batch.num_rows, len(self.query_ids))
 
 
+def usable_vectors(table: pa.Table, column: str, dim: int) -> pa.Table:
+    """Rows whose vector has the given size and only finite numbers."""
+    sized = table.filter(pa.array([v is not None and len(v) == dim for v in table.column(column)], pa.bool_()))
+    return sized.filter(pa.array(np.isfinite(dense(sized.column(column))).all(axis=1))) if sized.num_rows else sized
+
+
 def dense(column) -> np.ndarray:
     values = _one_chunk(column.combine_chunks()) if isinstance(column, pa.ChunkedArray) else column
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -199,6 +205,8 @@ class TopK:
 
     ``items``   columns ``_item`` (unique id), the features the kernel reads, and the payload to hand back.
     ``queries`` columns ``_query`` (unique id) and the features the kernel reads.
+    ``cells``   number of cells if items have ``_cell`` and queries ``_probes``, the cells they look into.
+    ``head``    the queries already read, if they turned out to be few.
     """
 
     items: DataFrame
@@ -208,18 +216,18 @@ class TopK:
     k: int
     query_name: str
     score_name: str = "score"
-    cell: str | None = None
+    cells: int | None = None
+    head: pa.Table | None = None
 
     def _output(self) -> T.StructType:
         fields = [T.StructField(self.query_name, self.queries.schema["_query"].dataType)]
         fields += [T.StructField(name, self.items.schema[name].dataType) for name in self.payload]
         return T.StructType([*fields, T.StructField("_score", T.DoubleType())])
 
-    def run(self, scan_queries: int = SCAN_QUERIES, scan_bytes: int = SCAN_BYTES) -> DataFrame:
+    def run(self, scan_queries: int = SCAN_QUERIES) -> DataFrame:
         """Rows (query, payload, score, rank); picks the scan plan only after a check of the batch's size."""
-        head = self.queries.limit(scan_queries + 1).toArrow()
-        small = head.num_rows <= scan_queries and head.nbytes <= scan_bytes
-        found = self._scan(head) if small else self._grid()
+        head = self.head if self.head is not None else few_rows(self.queries, scan_queries)
+        found = self._grid() if head is None else self._scan(head)
         order = Window.partitionBy(self.query_name).orderBy(F.col("_score").desc(), F.col("_item"))
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
         wanted = [name for name in self.payload if name != "_item"]
@@ -238,25 +246,22 @@ class TopK:
         return self.items.mapInArrow(best_in_partition, output)
 
     def _grid(self) -> DataFrame:
-        cell = F.col(self.cell) if self.cell else F.lit(0)
+        cell = F.col("_cell") if self.cells else F.lit(0)
         query_blocks = -(-self.queries.count() // QUERIES_PER_BLOCK)
         items = self.items.withColumn("_group", cell.cast("int"))
-        sizes = items.groupBy("_group").agg(
-            F.ceil(F.count(F.lit(1)) / ITEMS_PER_BLOCK).cast("int").alias("_blocks")
-        )
-        cut_items = (
-            items.join(sizes, "_group")
-            .withColumn("_row", F.pmod(F.xxhash64("_item"), F.col("_blocks")).cast("int"))
-            .withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-            .drop("_blocks")
+        # one number per cell, so its length is the number of cells
+        sizes = {r["_group"]: r["count"] for r in items.groupBy("_group").count().collect()}
+        per_cell = [-(-sizes.get(group, 0) // ITEMS_PER_BLOCK) for group in range(self.cells or 1)]
+        blocks = F.get(F.array(*map(F.lit, per_cell)), F.col("_group"))
+        cut_items = items.withColumn("_row", F.pmod(F.xxhash64("_item"), blocks).cast("int")).withColumn(
+            "_column", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
         )
-        queries = self.queries.withColumn("_column", F.pmod(F.xxhash64("_query"), F.lit(query_blocks)).cast("int"))
-        looks_into = F.explode("_probes") if self.cell else F.lit(0)
+        looks_into = F.explode("_probes") if self.cells else F.lit(0)
         cut_queries = (
-            queries.withColumn("_group", looks_into.cast("int"))
-            .join(sizes, "_group")
-            .withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-            .drop("_blocks")
+            self.queries.withColumn("_column", F.pmod(F.xxhash64("_query"), F.lit(query_blocks)).cast("int"))
+            .withColumn("_group", looks_into.cast("int"))
+            .where(blocks > 0)
+            .withColumn("_row", F.explode(F.sequence(F.lit(0), blocks - 1)))
         )
         kernel, payload, k, output = self.kernel, list(self.payload), self.k, self._output()
         schema = _arrow_schema(output)
@@ -272,6 +277,12 @@ class TopK:
         return cut_items.groupBy(keys).cogroup(cut_queries.groupBy(keys)).applyInArrow(best_in_block, output)
 
 
+def few_rows(queries: DataFrame, rows: int = SCAN_QUERIES, size: int = SCAN_BYTES) -> pa.Table | None:
+    """The queries if they are at most so many rows and bytes, else None. Never reads more than one row beyond."""
+    head = queries.limit(rows + 1).toArrow()
+    return head if head.num_rows <= rows and head.nbytes <= size else None
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

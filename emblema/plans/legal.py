@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.letters import article_numbers
 from ..functions.text import has_text, strip
 from ..operators.lexical import bm25, reciprocal_rank_fusion, shared_terms
+from ..session import settled
 
 MODES = ("naive", "local", "global", "hybrid")
 
@@ -43,6 +44,19 @@ def split_passages(corpus: DataFrame, source: str = "source", text: str = "text"
     )
 
 
+def article_index(passages: DataFrame) -> DataFrame:
+    """One row per article: heading, number of passages and the first of them."""
+    return (
+        passages.where(F.col("article").isNotNull())
+        .groupBy("article")
+        .agg(
+            F.min_by("heading", "passage_id").alias("heading"),
+            F.count(F.lit(1)).alias("passages"),
+            F.min("passage_id").alias("first_passage"),
+        )
+    )
+
+
 def citation_degree(passages: DataFrame) -> DataFrame:
     """How many passages cite an article."""
     return (
@@ -73,7 +87,8 @@ def retrieve(
     if mode == "naive":
         return bm25(passages, queries, k, doc_id="passage_id")
     related = _with_articles(passages)
-    seeds = bm25(related, queries, depth, doc_id="passage_id", keep=["article", "articles"]).persist()
+    seeds = bm25(related, queries, depth, doc_id="passage_id", keep=["article", "articles"])
+    seeds = settled(seeds, "legal-seeds")
     if mode == "local":
         return _local(related, seeds, k)
     if mode == "global":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import RRF_K, SEARCH_LIMIT
 from ..operators.filters import first_rows, register_condition
 from ..operators.lexical import bm25, reciprocal_rank_fusion
-from ..operators.nearest import nearest, search_vectors
+from ..operators.nearest import CellIndex, nearest, search_vectors
 from ..schema import without_vectors
 
 
@@ -59,11 +59,11 @@ def fused_search(
     query_text: str = "query_text",
     query_vector: str = "query_vector",
     constant: int = RRF_K,
-    mode: str = "exact",
+    index: CellIndex | None = None,
 ) -> DataFrame:
     """Vector ranking and word ranking, each to ``depth``, fused by rank."""
     dense = search_vectors(
-        register, queries, depth, mode=mode, item_id=item_id, vector=vector, query_id=query_id,
+        register, queries, depth, index=index, item_id=item_id, vector=vector, query_id=query_id,
         query_vector=query_vector, keep=[item_id],
     )
     lexical = bm25(

@@ -56,14 +56,14 @@ def default_value(name: str) -> Column:
     return F.lit(_DEFAULT_TEXT.get(name))
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Give ``df`` exactly the register's columns: cast what is there, fill defaults for what is not."""
+def conform(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Give ``df`` the register's columns: cast what is there, fill defaults for what is not, keep ``carry``."""
     present = set(df.columns)
     columns = []
     for field in REGISTER:
         value = F.col(field.name) if field.name in present else default_value(field.name)
         columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *carry)
 
 
 def without_vectors(df: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Session settings the library counts on, and the shared folder for state."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 16 << 20
+_local_dirs: dict[str, str] = {}
 
 
 def build_session(app_name: str = "emblema", master: str | None = None, **settings) -> SparkSession:
@@ -33,4 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="emblema-")
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="emblema-")
+    return _local_dirs[application]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, cut from its lineage, and safe when
+    executors are lost. For results that are small beside what they are computed from."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, text: str) -> DataFrame | None:
+    """``df`` marked for broadcast if a count shows few rows and little text, else None."""
+    head = df.limit(BROADCAST_ROWS + 1)
+    size = head.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).alias("chars")).first()
+    small = size["rows"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS
+    return F.broadcast(df) if small else None

@@ -66,7 +66,7 @@ def ranked(source: str, asked: str, item: str, keep: str, k: int, vector: str =
     return f"""scored AS (
   SELECT query_id, {keep}, {item} AS _item, round({COSINE.format(a=vector, b='qv')}, 4) AS s FROM {source}, {asked} WHERE {where}),
 hits AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, _item) AS rank FROM scored)
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, _item) AS INT) AS rank FROM scored)
   WHERE rank <= {k})"""
 
 
@@ -88,7 +88,7 @@ def bm25(docs: str, queries: str, k: int, prefix: str = "", item: str = "id") ->
   SELECT qid, id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 4) AS score
   FROM {p}tf JOIN {p}df USING (term) JOIN {p}qt USING (term), {p}c GROUP BY qid, id),
 {p}hits AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {p}sc) WHERE rank <= {k})"""
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM {p}sc) WHERE rank <= {k})"""
 
 
 TEXT_QUERIES = "queries AS (SELECT item_id AS qid, text AS qtext FROM benchmark)"
@@ -229,12 +229,12 @@ SEEDS = f"""{RETRIEVAL}, {bm25('pdocs', 'queries', 50)},
 related AS (SELECT passage_id, unnest(list_distinct([article, cite])) AS art FROM passages),
 weights AS (SELECT qid, art, count(*) AS w FROM hits JOIN related ON id = passage_id GROUP BY qid, art),
 lscore AS (SELECT qid, passage_id, sum(w)::DOUBLE AS score FROM weights JOIN related USING (art) GROUP BY qid, passage_id),
-lrank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, passage_id) AS rank FROM lscore),
+lrank AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, passage_id) AS INT) AS rank FROM lscore),
 degree AS (SELECT cite AS article, count(*) AS cited_by FROM passages GROUP BY cite),
 gscore AS (
   SELECT qid, passage_id, coalesce(cited_by, 0)::DOUBLE AS score, rank AS r
   FROM hits JOIN passages ON id = passage_id LEFT JOIN degree USING (article)),
-grank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r) AS rank FROM gscore)"""
+grank AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, r) AS INT) AS rank FROM gscore)"""
 
 ENCODER_TEXT = "mark_name || ' | ' || array_to_string(list_transform(list_sort(nice_classes), lambda c: 'Class ' || c), ', ')"
 
@@ -279,12 +279,12 @@ docs AS (SELECT doc_id AS id, text FROM joined), queries AS (SELECT query_id AS
 {bm25('docs', 'queries', 50, 'l')},
 votes AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS v FROM hits UNION ALL SELECT qid, id, 1.0::DOUBLE / (60 + rank) FROM lhits),
 fused AS (SELECT query_id, doc_id, round(sum(v), 6) AS fused_score, count(*) AS lists FROM votes GROUP BY query_id, doc_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10""",
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, doc_id) AS INT) AS rank FROM fused) WHERE rank <= 10""",
     "nice_recommend": f"""WITH {REGISTER}, {CANDIDATES}, docs AS (SELECT id, goods_text AS text FROM register),
 queries AS (SELECT query_id AS qid, replace(candidate_name, 'y', 'i') AS qtext FROM cand), {bm25('docs', 'queries', 50)},
 votes AS (SELECT qid, unnest(nice_classes) AS nice_class, score FROM hits JOIN register USING (id)),
 total AS (SELECT qid AS query_id, nice_class, count(*) AS votes, round(sum(score), 4) AS weight FROM votes GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, nice_class) AS rank FROM total) WHERE rank <= 5""",
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, nice_class) AS INT) AS rank FROM total) WHERE rank <= 5""",
     "sound_similarity": f"""WITH {WORD_MARKS}, k AS (SELECT *, {sound_key('mark_name')} AS a, {sound_key('other_name')} AS b FROM wm)
 SELECT doc_id, mark_name, other_name, round({sound('a', 'b')}, 4) AS sound FROM k""",
     "transliterate_names": f"""WITH {WORD_MARKS} SELECT doc_id, {transliterated('mark_name')} AS transliterated, {sound_key('mark_name')} AS sound_key FROM wm""",
@@ -322,8 +322,8 @@ FROM same LEFT JOIN pairs USING (query_id)""",
 SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN (2000 + p_size) || '-02-31' ELSE {views.PAGE_ISO} END AS iso FROM part)""",
     "ingest_totals": f"WITH {PARSED} SELECT count(*) AS total, count(*) FILTER (reject_reason IS NULL) AS success, count(*) FILTER (reject_reason IS NOT NULL) AS failed FROM parsed",
     "ingest_urls": f"""WITH {PARSED}, u AS (
-  SELECT DISTINCT {views.PAGE_URL} AS url FROM (SELECT l_partkey + 100 AS p_partkey FROM lineitem))
-SELECT url AS raw_url, application_number, mark_name, CASE WHEN parsed.raw_url IS NULL THEN 'no page' ELSE reject_reason END AS reject_reason
+  SELECT {views.PAGE_URL} AS url, count(*) AS requests FROM (SELECT l_partkey + 100 AS p_partkey FROM lineitem) GROUP BY url)
+SELECT url AS raw_url, requests, application_number, mark_name, CASE WHEN parsed.raw_url IS NULL THEN 'no page' ELSE reject_reason END AS reject_reason
 FROM u LEFT JOIN parsed ON parsed.raw_url = url""",
     "upsert_register": f"""WITH {REGISTER}, {CHANGES}
 SELECT id, application_number, mark_name, status FROM register WHERE application_number NOT IN (SELECT application_number FROM changes)
@@ -354,9 +354,12 @@ SELECT *, (year(o_orderdate) + 1) || CASE WHEN o_orderpriority = '1-URGENT' THEN
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS position, code, label,
 CASE WHEN code LIKE '7%' THEN 'absolute' ELSE 'relative' END AS kind FROM codes LEFT JOIN types USING (code)""",
     "citations": f"WITH {LETTERS}, {CODES}, {CITED} SELECT doc_id, citation FROM cited",
-    "cited_passages": rf"""WITH {LETTERS}, {PASSAGES},
+    "cited_articles": rf"""WITH {LETTERS}, {PASSAGES},
 a AS (SELECT DISTINCT doc_id, CAST(unnest(regexp_extract_all(text, '(?:Articles?|Art\.)\s*(\d+)', 1)) AS INT) AS article FROM letters)
-SELECT a.article, a.doc_id, passage_id, heading FROM a LEFT JOIN (SELECT * FROM passages WHERE paragraph = 1) p ON p.article = a.article""",
+SELECT a.article, a.doc_id, heading, passages, first_passage FROM a LEFT JOIN
+(SELECT article, arg_min(heading, passage_id) AS heading, count(*) AS passages, min(passage_id) AS first_passage FROM passages GROUP BY article) p ON p.article = a.article""",
+    "article_index": f"""WITH {PASSAGES} SELECT article, arg_min(heading, passage_id) AS heading, count(*) AS passages, min(passage_id) AS first_passage
+FROM passages GROUP BY article""",
     "structured_letters": rf"""WITH {LETTERS}, {CODES}, {CITED}
 SELECT o_orderkey AS doc_id, {HEADER}, {views.ORDER_DATE} AS filing_date, {views.DEADLINE} AS response_deadline,
   (SELECT string_agg(code, '|' ORDER BY first) FROM codes WHERE codes.doc_id = o_orderkey) AS objections_found,
@@ -372,7 +375,7 @@ regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, cite::VARCHAR AS cites FROM
     "legal_retrieval_hybrid": f"""WITH {SEEDS},
 votes AS (SELECT qid, passage_id, 1.0::DOUBLE / (60 + rank) AS v FROM lrank WHERE rank <= 50 UNION ALL SELECT qid, passage_id, 1.0::DOUBLE / (60 + rank) FROM grank WHERE rank <= 50),
 fused AS (SELECT qid AS query_id, passage_id, round(sum(v), 6) AS score FROM votes GROUP BY qid, passage_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused) WHERE rank <= 10""",
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS INT) AS rank FROM fused) WHERE rank <= 10""",
     "encoder_inputs": f"""WITH {REGISTER}, t AS (SELECT id, {ENCODER_TEXT} AS t FROM register)
 SELECT id, t AS encoder_text, substr(sha256('passage:' || t), 1, 16) AS cache_key FROM t""",
     "embed_cache_plan": f"""WITH {REGISTER}, t AS (SELECT status, {ENCODER_TEXT} AS t FROM register)

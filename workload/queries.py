@@ -17,7 +17,7 @@ from emblema.operators import filters, lexical, nearest, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
 from emblema.operators.pages import stitch_pages
 from emblema.plans import bulletin, clearance, ingest, legal, office_action, recommend, search, stats
-from emblema.session import shared_dir
+from emblema.session import fresh_path
 from emblema.sources.register import read_changes
 from emblema.streaming import watch
 
@@ -149,10 +149,10 @@ def image_search(spark, sf_dir):
 
 def _in_cells(spark, sf_dir, nprobe):
     marks, asked = views.table(spark, sf_dir, "embeddings"), views.vector_queries(spark, sf_dir)
-    rows = marks.count()
-    centres = nearest.train_cells(marks, vector="embedding", cells=nearest.cells_for(rows), rows=rows)
-    clustered = nearest.assign_cells(marks, centres, vector="embedding")
-    return nearest.nearest_in_cells(clustered, asked, centres, 10, nprobe or len(centres), **_VECTORS)
+    index = nearest.build_index(marks, fresh_path(spark, "cells"), item_id="vec_id", vector="embedding")
+    return nearest.nearest_in_cells(
+        index, asked, 10, nprobe or len(index.centres), item_id="vec_id", keep=["vec_id", "label"]
+    )
 
 
 @query
@@ -353,12 +353,12 @@ def ingest_totals(spark, sf_dir):
 
 @query
 def ingest_urls(spark, sf_dir):
-    """A URL per supplied part; parts beyond the register have no page."""
-    urls = views.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 100).alias("p_partkey")).distinct()
+    """A URL per lineitem; parts beyond the register have no page."""
+    urls = views.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 100).alias("p_partkey"))
     parsed = ingest.ingest_urls(
         urls.select(F.expr(views.PAGE_URL).alias("url")), views.detail_pages(spark, sf_dir)
     )
-    return parsed.select("raw_url", "application_number", "mark_name", "reject_reason")
+    return parsed.select("raw_url", "application_number", "mark_name", "reject_reason", "requests")
 
 
 def _changes(spark, sf_dir):
@@ -456,9 +456,15 @@ def citations(spark, sf_dir):
 
 
 @query
-def cited_passages(spark, sf_dir):
-    headings = legal.split_passages(views.statutes(spark, sf_dir)).where("paragraph = 1")
-    return office_action.cited_passages(views.letters(spark, sf_dir), headings)
+def cited_articles(spark, sf_dir):
+    return office_action.cited_articles(
+        views.letters(spark, sf_dir), legal.split_passages(views.statutes(spark, sf_dir))
+    )
+
+
+@query
+def article_index(spark, sf_dir):
+    return legal.article_index(legal.split_passages(views.statutes(spark, sf_dir)))
 
 
 @query
@@ -523,7 +529,7 @@ def embed_hashed(spark, sf_dir):
 
 @query
 def embed_with_cache(spark, sf_dir):
-    path = f"{shared_dir(spark)}/embed_cache_{_run_id()}"
+    path = fresh_path(spark, "embed-cache")
     marks = views.register(spark, sf_dir)
     cache = fill_cache(marks.where("status = 'registered'"), path, "mark_name", ngram_encoder(64))
     cache = fill_cache(marks, path, "mark_name", ngram_encoder(64))
@@ -531,16 +537,10 @@ def embed_with_cache(spark, sf_dir):
 
 
 # --- stream -----------------------------------------------------------------------------------------------
-def _run_id() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 @query
 def watch_stream(spark, sf_dir):
     """The part table as a stream of landed bulletin pages, written as change batches of the register."""
-    home = f"{shared_dir(spark)}/watch_{_run_id()}"
+    home = fresh_path(spark, "watch")
     part = views.table(spark, sf_dir, "part")
     landed = watch.stream_pages(spark, sf_dir, part.schema, name_pattern="part.parquet").select(
         F.col("p_partkey").alias("page_id"),
