@@ -2,49 +2,52 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BM25_B, BM25_K1, RRF_K
 from ..functions.numbers import rounded
+from ..functions.rows import each_element
 from ..functions.text import words
-from ..session import broadcast_if_small, settled
-from .topk import SCAN_QUERIES, TopK, WeightedTerms
+from ..session import settled
+from .topk import SCAN_QUERIES, TopK, WeightedTerms, few_rows
 
-_CORPUS = ""  # stands for the corpus itself in the word statistics; no word is empty
+CORPUS = ""  # stands for the corpus itself in the word statistics; no word is empty
+SCAN_TERMS = 500_000
 
 
-def word_statistics(docs: DataFrame, text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+def word_statistics(
+    docs: DataFrame, text: str = "text", vocabulary: DataFrame | None = None, *, small_vocabulary: bool = False
+) -> DataFrame:
     """Per word: number of texts that hold it. The empty word carries the number of texts and of all words.
 
     One pass: words repeat at most once per text before they are counted, and counting combines on the map side.
-    A vocabulary (column ``term``) restricts the words: before counting if it is small enough to send to the tasks,
-    otherwise after, when every word is one row.
+    A vocabulary (column ``term``) restricts the words: before counting if it was checked to be small enough to send
+    to the tasks, otherwise after, when every word is one row.
     """
     tokens = docs.select(words(F.col(text)).alias("tokens"))
-    each = tokens.select(
-        F.explode(F.array_append(F.array_distinct("tokens"), F.lit(_CORPUS))).alias("term"),
-        F.size("tokens").alias("length"),
-    )
-    wanted = None if vocabulary is None else broadcast_if_small(vocabulary, "term")
-    if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")
+    held = F.array_append(F.array_distinct("tokens"), F.lit(CORPUS))
+    each = each_element(tokens, [F.size("tokens").alias("length")], held, "term")
+    if small_vocabulary:
+        each = each.join(F.broadcast(vocabulary), "term", "left_semi")
     counted = each.groupBy("term").agg(
         F.count(F.lit(1)).alias("texts"),
-        F.sum(F.when(F.col("term") == _CORPUS, F.col("length")).otherwise(0)).alias("total_words"),
+        F.sum(F.when(F.col("term") == CORPUS, F.col("length")).otherwise(0)).alias("total_words"),
     )
-    if vocabulary is not None and wanted is None:
+    if vocabulary is not None and not small_vocabulary:
         counted = counted.join(vocabulary, "term", "left_semi")
     return counted
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    return queries.select(
-        F.col(query_id).alias("_query"), F.explode(F.array_distinct(words(F.col(text)))).alias("term")
-    )
+    asked = [F.col(query_id).alias("_query")]
+    return each_element(queries, asked, F.array_distinct(words(F.col(text))), "term").drop("position")
 
 
 def _as_query_rows(weighted: DataFrame) -> DataFrame:
@@ -73,23 +76,56 @@ def bm25(
     Two passes over the texts: word statistics restricted to the queries' words, then scoring inside the tasks.
     """
     terms = query_terms(queries, query_id, query_text)
-    vocabulary = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(_CORPUS,)], ["term"]))
-    statistics = settled(word_statistics(docs, text, vocabulary), "word-statistics")
-    corpus = statistics.where(F.col("term") == _CORPUS).first()
-    total, average = (corpus["texts"], corpus["total_words"] / corpus["texts"]) if corpus else (0, 1.0)
-    idf = F.log1p((F.lit(float(total)) - F.col("texts") + 0.5) / (F.col("texts") + 0.5))
-    weighted = terms.join(statistics, "term").select("_query", "term", idf.alias("weight"))
-    items = docs.select(
-        F.col(doc_id).alias("_item"), words(F.col(text)).alias("_tokens"), doc_id, *[c for c in keep if c != doc_id]
-    )
-    payload = ["_item", doc_id, *[c for c in keep if c != doc_id]]
+    head, rows, asked = few_rows(terms, SCAN_TERMS), None, terms
+    if head is not None and pc.count_distinct(head.column("_query")).as_py() <= scan_queries:
+        average, rows = _weights_of_few(docs, text, head)
+    else:
+        average, asked = _weights_of_many(docs, text, terms)
+    columns = [doc_id, *[c for c in keep if c != doc_id]]
+    items = docs.select(F.col(doc_id).alias("_item"), words(F.col(text)).alias("_tokens"), *columns)
     saturation = (k1, b, average or 1.0)
     job = TopK(
-        items, _as_query_rows(weighted), payload, lambda q: WeightedTerms(q, saturation), k, query_id, score_name
+        items, asked, ["_item", *columns], lambda q: WeightedTerms(q, saturation), k, query_id, score_name, head=rows
     )
     return job.run(scan_queries)
 
 
+def _weights_of_few(docs: DataFrame, text: str, head: pa.Table) -> tuple[float, pa.Table]:
+    """Average text length and weighted query rows. The queries' words are few and already read, so their statistics
+    are one small table, too."""
+    vocabulary = pa.table({"term": pc.unique(head.column("term")).to_pylist() + [CORPUS]})
+    known = docs.sparkSession.createDataFrame(vocabulary)
+    statistics = word_statistics(docs, text, known, small_vocabulary=True).toArrow().to_pylist()
+    texts = {row["term"]: row["texts"] for row in statistics}
+    corpus = next((row for row in statistics if row["term"] == CORPUS), None)
+    total, average = (corpus["texts"], corpus["total_words"] / corpus["texts"]) if corpus else (0, 1.0)
+    weighted: dict[object, list[tuple[str, float]]] = {}
+    for query, term in zip(head.column("_query").to_pylist(), head.column("term").to_pylist(), strict=True):
+        if term in texts:
+            weight = math.log1p((total - texts[term] + 0.5) / (texts[term] + 0.5))
+            weighted.setdefault(query, []).append((term, weight))
+    rows = pa.table(
+        {
+            "_query": pa.array(list(weighted), head.schema.field("_query").type),
+            "_terms": pa.array([[t for t, _ in pairs] for pairs in weighted.values()], pa.list_(pa.string())),
+            "_weights": pa.array([[w for _, w in pairs] for pairs in weighted.values()], pa.list_(pa.float64())),
+        }
+    )
+    return average, rows
+
+
+def _weights_of_many(docs: DataFrame, text: str, terms: DataFrame) -> tuple[float, DataFrame]:
+    """The same for any number of queries: their words meet the statistics in a join."""
+    spark = docs.sparkSession
+    vocabulary = terms.select("term").distinct().unionByName(spark.createDataFrame([(CORPUS,)], "term string"))
+    statistics = settled(word_statistics(docs, text, vocabulary), "word-statistics")
+    corpus = statistics.where(F.col("term") == CORPUS).first()
+    total, average = (corpus["texts"], corpus["total_words"] / corpus["texts"]) if corpus else (0, 1.0)
+    idf = F.log1p((F.lit(float(total)) - F.col("texts") + 0.5) / (F.col("texts") + 0.5))
+    weighted = terms.join(statistics, "term").select("_query", "term", idf.alias("weight"))
+    return average, _as_query_rows(weighted)
+
+
 def shared_terms(
     items: DataFrame,
     weights: DataFrame,

@@ -90,8 +90,9 @@ def train_cells(register: DataFrame, *, vector: str = "text_vector", cells: int,
     points = register.select(unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
     if rows > wanted:
         points = points.sample(fraction=wanted / rows, seed=seed)
-    points = points.select(array_to_vector("v").alias("features"))
+    points = points.select(array_to_vector("v").alias("features")).persist()
     model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(points)
+    points.unpersist()
     return np.array(model.clusterCenters())
 
 

@@ -129,7 +129,7 @@ class CosineInCells(Cosine):
 
 
 class WeightedTerms:
-    """BM25 of token lists against weighted query terms; columns ``_tokens``, ``_terms`` and ``_weights``.
+    """BM25 of token lists against query terms of positive weight; columns ``_tokens``, ``_terms``, ``_weights``.
 
     ``saturation`` is (k1, b, average length), or None to add the weights of the distinct terms an item holds.
     """
@@ -162,14 +162,14 @@ class WeightedTerms:
         else:
             k1, b, average = self.saturation
             part = count * (k1 + 1.0) / (count + k1 * (1.0 - b + b * lengths[item] / average))
+        # every matched word spreads over the queries that use it
         users = self.users[code]
         spread = np.repeat(np.arange(len(pair)), users)
         within = np.arange(len(spread)) - np.repeat(np.cumsum(users) - users, users)
         use = self.first[code[spread]] + within
         cell = item[spread] * len(self.query_ids) + self.owner[use]
         total = np.bincount(cell, self.weight[use] * part[spread], batch.num_rows * len(self.query_ids))
-        touched = np.bincount(cell, minlength=batch.num_rows * len(self.query_ids)) > 0
-        return np.where(touched, total, np.nan).reshape(batch.num_rows, len(self.query_ids))
+        return np.where(total > 0, total, np.nan).reshape(batch.num_rows, len(self.query_ids))
 
 
 def usable_vectors(table: pa.Table, column: str, dim: int) -> pa.Table:

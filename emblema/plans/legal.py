@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.letters import article_numbers
+from ..functions.rows import each_element
 from ..functions.text import has_text, strip
 from ..operators.lexical import bm25, reciprocal_rank_fusion, shared_terms
 from ..session import settled
@@ -19,16 +20,11 @@ def split_passages(corpus: DataFrame, source: str = "source", text: str = "text"
     Columns: passage_id, source, article, heading, paragraph (0 for the text under the heading), text, cites.
     """
     articles = F.split(F.col(text), r"(?m)^(?=Article \d+)")
-    sections = corpus.select(F.col(source).alias("source"), F.posexplode(articles).alias("section", "_s"))
+    sections = each_element(corpus, [F.col(source).alias("source")], articles, "_s", "section")
     number = F.regexp_extract("_s", r"^Article (\d+)", 1).try_cast("int")
     heading = F.when(number.isNotNull(), strip(F.substring_index("_s", "\n", 1)))
-    cut = sections.select(
-        "source",
-        "section",
-        number.alias("article"),
-        heading.alias("heading"),
-        F.posexplode(F.split("_s", r"(?m)^(?=\d+\. )")).alias("piece", "_p"),
-    )
+    keep = ["source", "section", number.alias("article"), heading.alias("heading")]
+    cut = each_element(sections, keep, F.split("_s", r"(?m)^(?=\d+\. )"), "_p", "piece")
     body = F.when(
         F.col("article").isNotNull() & (F.col("piece") == 0), F.regexp_replace("_p", r"^[^\n]*\n?", "")
     ).otherwise(F.col("_p"))

@@ -49,6 +49,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer splits than there are cores, as a single small file does.
+    A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, cut from its lineage, and safe when
     executors are lost. For results that are small beside what they are computed from."""

@@ -17,7 +17,7 @@ from emblema.operators import filters, lexical, nearest, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
 from emblema.operators.pages import stitch_pages
 from emblema.plans import bulletin, clearance, ingest, legal, office_action, recommend, search, stats
-from emblema.session import fresh_path
+from emblema.session import fresh_path, settled
 from emblema.sources.register import read_changes
 from emblema.streaming import watch
 
@@ -183,17 +183,17 @@ def vector_norms(spark, sf_dir):
 # --- words ------------------------------------------------------------------------------------------------
 @query
 def word_statistics(spark, sf_dir):
-    return lexical.word_statistics(views.table(spark, sf_dir, "documents"))
+    return lexical.word_statistics(views.text_table(spark, sf_dir, "documents"))
 
 
 @query
 def bm25_search(spark, sf_dir):
-    return lexical.bm25(views.table(spark, sf_dir, "documents"), views.text_queries(spark, sf_dir), 10)
+    return lexical.bm25(views.text_table(spark, sf_dir, "documents"), views.text_queries(spark, sf_dir), 10)
 
 
 @query
 def rrf_fusion(spark, sf_dir):
-    docs, vectors = views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "embeddings")
+    docs, vectors = views.text_table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "embeddings")
     both = docs.join(vectors, docs.doc_id == vectors.vec_id)
     return search.fused_search(
         both, views.vector_queries(spark, sf_dir), 10, depth=50, item_id="doc_id", text="text", vector="embedding"
@@ -399,7 +399,7 @@ def delete_where(spark, sf_dir):
 # --- bulletins --------------------------------------------------------------------------------------------
 @query
 def extract_links(spark, sf_dir):
-    return bulletin.extract_links(views.table(spark, sf_dir, "pages"))
+    return bulletin.extract_links(views.text_table(spark, sf_dir, "pages"))
 
 
 @query
@@ -427,7 +427,7 @@ def crawl_statistics(spark, sf_dir):
 # --- letters and law --------------------------------------------------------------------------------------
 @query
 def letter_format(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", format_letter(F.col("text")).alias("markdown"))
+    return views.text_table(spark, sf_dir, "documents").select("doc_id", format_letter(F.col("text")).alias("markdown"))
 
 
 @query
@@ -486,9 +486,8 @@ def citation_degree(spark, sf_dir):
 
 def _retrieve(mode):
     def run(spark, sf_dir):
-        return legal.retrieve(
-            legal.split_passages(views.statutes(spark, sf_dir)), views.text_queries(spark, sf_dir), mode
-        )
+        passages = settled(legal.split_passages(views.statutes(spark, sf_dir)), "passages")
+        return legal.retrieve(passages, views.text_queries(spark, sf_dir), mode)
 
     return run
 
@@ -519,7 +518,7 @@ def embed_cache_plan(spark, sf_dir):
 
 @query
 def embed_hashed(spark, sf_dir):
-    docs = embed_column(views.table(spark, sf_dir, "documents"), "text", ngram_encoder(64))
+    docs = embed_column(views.text_table(spark, sf_dir, "documents"), "text", ngram_encoder(64))
     return (
         docs.select("doc_id", F.posexplode("text_vector").alias("dim", "x"))
         .where("x <> 0")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emblema.session import spread
+
 # --- expressions shared by both engines --------------------------------------------------------------
 NUMBER = "lpad(CAST(p_partkey AS VARCHAR(20)), 9, '0')"
 STATUS = (
@@ -96,14 +98,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def longest_word(text):
-    """The longest run of letters in the whole text, lower case; the last in order among equals."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
-    return F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-
-
-def last_word(text):
-    return F.array_max(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1))
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are read at length: over all cores even if it is one small file."""
+    return spread(table(spark, sf_dir, name))
 
 
 def classes():
@@ -168,21 +165,26 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mark per document: the longest word of the whole text, and the alphabetically last one beside it."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", longest_word(F.col("text")).alias("mark_name"), last_word(F.col("text")).alias("other_name")
-    ).where("mark_name IS NOT NULL")
+    lettered = text_table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\p{L}"))
+    runs = lettered.select(
+        "doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("runs")
+    )
+    by_length = F.transform("runs", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    return runs.select(
+        "doc_id", F.array_max(by_length)["w"].alias("mark_name"), F.array_max("runs").alias("other_name")
+    )
 
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.expr(PAGE_URL).alias("url"), F.expr(MARKDOWN).alias("markdown"))
+    return text_table(spark, sf_dir, "part").select(F.expr(PAGE_URL).alias("url"), F.expr(MARKDOWN).alias("markdown"))
 
 
 def bulletin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(BULLETIN_HTML).alias("html"))
+    return text_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(BULLETIN_HTML).alias("html"))
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(LETTER).alias("text"))
+    return text_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(LETTER).alias("text"))
 
 
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +199,7 @@ def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((F.col("doc_id") + i + 1) % 97 + 1).cast("string"),
         ),
     )
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("source"),
         F.concat(
             F.lit("Article "),
