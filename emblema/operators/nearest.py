@@ -84,10 +84,10 @@ def cells_for(rows: int) -> int:
     return max(1, min(MAX_CELLS, rows // ROWS_PER_CELL))
 
 
-def train_cells(register: DataFrame, *, vector: str = "text_vector", cells: int, rows: int, seed: int = 42) -> np.ndarray:
+def train_cells(register: DataFrame, dim: int, *, vector: str = "text_vector", cells: int, rows: int, seed: int = 42) -> np.ndarray:
     """Cell centres by cosine k-means. Training sees a bounded sample; every row is assigned and searched later."""
     wanted = cells * TRAINING_ROWS_PER_CELL
-    points = register.select(unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
+    points = register.where(_usable(F.col(vector), dim)).select(unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
     if rows > wanted:
         points = points.sample(fraction=wanted / rows, seed=seed)
     points = points.select(array_to_vector("v").alias("features")).persist()
@@ -131,10 +131,15 @@ def build_index(
 ) -> CellIndex:
     """Trains cells, assigns every row and writes the register by cell, so a search reads only the cells it probes.
 
-    A cell is spread over files of bounded size by a hash of the id, however large it is.
+    A cell is spread over files of bounded size by a hash of the id, however large it is. Vectors of another size
+    than most have are left out, as are rows without one.
     """
-    rows = register.count()
-    centres = train_cells(register, vector=vector, cells=cells or cells_for(rows), rows=rows)
+    by_size = register.where(F.size(vector) > 0).groupBy(F.size(vector).alias("dim")).count()
+    common = by_size.orderBy(F.col("count").desc(), "dim").first()
+    if common is None:
+        raise ValueError("the register holds no vectors")
+    dim, rows = common["dim"], common["count"]
+    centres = train_cells(register, dim, vector=vector, cells=cells or cells_for(rows), rows=rows)
     assigned = assign_cells(register, centres, vector=vector).where(F.col("cell").isNotNull())
     # one number per cell, so its length is the number of cells
     sizes = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}

@@ -259,7 +259,7 @@ class TopK:
         looks_into = F.explode("_probes") if self.cells else F.lit(0)
         cut_queries = (
             self.queries.withColumn("_column", F.pmod(F.xxhash64("_query"), F.lit(query_blocks)).cast("int"))
-            .withColumn("_group", looks_into.cast("int"))
+            .withColumn("_group", looks_into)
             .where(blocks > 0)
             .withColumn("_row", F.explode(F.sequence(F.lit(0), blocks - 1)))
         )
