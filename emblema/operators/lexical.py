@@ -76,7 +76,7 @@ def bm25(
     Two passes over the texts: word statistics restricted to the queries' words, then scoring inside the tasks.
     """
     terms = query_terms(queries, query_id, query_text)
-    head, rows, asked = few_rows(terms, SCAN_TERMS), None, terms
+    head, rows, asked = few_rows(terms, F.length("term") + 16, SCAN_TERMS), None, terms
     if head is not None and pc.count_distinct(head.column("_query")).as_py() <= scan_queries:
         average, rows = _weights_of_few(docs, text, head)
     else:
@@ -87,7 +87,7 @@ def bm25(
     job = TopK(
         items, asked, ["_item", *columns], lambda q: WeightedTerms(q, saturation), k, query_id, score_name, head=rows
     )
-    return job.run(scan_queries)
+    return job.run()
 
 
 def _weights_of_few(docs: DataFrame, text: str, head: pa.Table) -> tuple[float, pa.Table]:
@@ -143,11 +143,12 @@ def shared_terms(
     so a term that a third of all items hold costs no more than any other.
     """
     query_rows = _as_query_rows(weights.select(F.col(query_id).alias("_query"), "term", F.col("weight").cast("double")))
+    head = few_rows(query_rows, F.size("_terms") * 32)
     rows = items.where(F.size(terms) > 0).select(
         F.col(item_id).alias("_item"), F.array_distinct(terms).alias("_tokens"), item_id, *keep
     )
     job = TopK(
-        rows, query_rows, ["_item", item_id, *keep], lambda q: WeightedTerms(q, None), k, query_id, score_name
+        rows, query_rows, ["_item", item_id, *keep], lambda q: WeightedTerms(q, None), k, query_id, score_name, head=head
     )
     return job.run()
 

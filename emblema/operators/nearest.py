@@ -31,7 +31,7 @@ def _query_side(queries: DataFrame, query_id: str, query_vector: str, scan_queri
     named = queries.where(F.size(query_vector) > 0).select(
         F.col(query_id).alias("_query"), F.col(query_vector).alias("_query_vector"), *extra
     )
-    head = few_rows(named, scan_queries)
+    head = few_rows(named, F.size("_query_vector") * 8, scan_queries)
     if head is None:
         dim = named.select(F.size("_query_vector")).first()[0]
     else:
@@ -69,7 +69,7 @@ def nearest(
     items = rows.where(_usable(F.col(vector), dim)).select(
         F.col(item_id).alias("_item"), F.col(vector).alias("_vector"), *keep
     )
-    found = TopK(items, asked, ["_item", *keep], Cosine, k, query_id, score_name, head=head).run(scan_queries)
+    found = TopK(items, asked, ["_item", *keep], Cosine, k, query_id, score_name, head=head).run()
     return found.where("_passes").drop("_passes") if after else found
 
 
@@ -205,7 +205,7 @@ def nearest_in_cells(
     job = TopK(
         items, asked, ["_item", *keep], CosineInCells, k, query_id, score_name, cells=len(index.centres), head=head
     )
-    return job.run(scan_queries)
+    return job.run()
 
 
 def search_vectors(

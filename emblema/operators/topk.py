@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,22 +224,22 @@ class TopK:
         fields += [T.StructField(name, self.items.schema[name].dataType) for name in self.payload]
         return T.StructType([*fields, T.StructField("_score", T.DoubleType())])
 
-    def run(self, scan_queries: int = SCAN_QUERIES) -> DataFrame:
-        """Rows (query, payload, score, rank); picks the scan plan only after a check of the batch's size."""
-        head = self.head if self.head is not None else few_rows(self.queries, scan_queries)
-        found = self._grid() if head is None else self._scan(head)
+    def run(self) -> DataFrame:
+        """Rows (query, payload, score, rank): by scan if the queries were found to be few, else by grid."""
+        found = self._grid() if self.head is None else self._scan(self.head)
         order = Window.partitionBy(self.query_name).orderBy(F.col("_score").desc(), F.col("_item"))
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
         wanted = [name for name in self.payload if name != "_item"]
         return ranked.select(self.query_name, *wanted, F.col("_score").alias(self.score_name), "rank")
 
     def _scan(self, queries: pa.Table) -> DataFrame:
-        shipped = self.items.sparkSession.sparkContext.broadcast(self.kernel(queries))
-        payload, k, output = list(self.payload), self.k, self._output()
+        # the table itself is sent: a broadcast value must not need this package to be installed on the executors
+        shipped = self.items.sparkSession.sparkContext.broadcast(queries)
+        kernel, payload, k, output = self.kernel, list(self.payload), self.k, self._output()
         schema = _arrow_schema(output)
 
         def best_in_partition(batches):
-            found = _best_of(shipped.value, batches, k, payload, schema)
+            found = _best_of(kernel(shipped.value), batches, k, payload, schema)
             if found is not None:
                 yield found
 
@@ -277,10 +277,10 @@ class TopK:
         return cut_items.groupBy(keys).cogroup(cut_queries.groupBy(keys)).applyInArrow(best_in_block, output)
 
 
-def few_rows(queries: DataFrame, rows: int = SCAN_QUERIES, size: int = SCAN_BYTES) -> pa.Table | None:
-    """The queries if they are at most so many rows and bytes, else None. Never reads more than one row beyond."""
-    head = queries.limit(rows + 1).toArrow()
-    return head if head.num_rows <= rows and head.nbytes <= size else None
+def few_rows(queries: DataFrame, width: Column, rows: int = SCAN_QUERIES, size: int = SCAN_BYTES) -> pa.Table | None:
+    """The queries if a count shows at most so many rows and bytes, else None. ``width`` is the size of a row."""
+    total = queries.agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("bytes")).first()
+    return queries.toArrow() if total["rows"] <= rows and (total["bytes"] or 0) <= size else None
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

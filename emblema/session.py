@@ -66,7 +66,6 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, text: str) -> DataFrame | None:
     """``df`` marked for broadcast if a count shows few rows and little text, else None."""
-    head = df.limit(BROADCAST_ROWS + 1)
-    size = head.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).alias("chars")).first()
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).alias("chars")).first()
     small = size["rows"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS
     return F.broadcast(df) if small else None

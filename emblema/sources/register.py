@@ -58,6 +58,12 @@ def compact(spark: SparkSession, base_path: str, changes_path: str, new_base_pat
     return open_register(spark, new_base_path)
 
 
+def save_bucketed(register: DataFrame, name: str, buckets: int, key: str = KEY) -> None:
+    """Saves the register as a table bucketed and sorted by key. An upsert or compaction of it then shuffles the
+    changes only; the wide base rows stay where they are. Use at least as many buckets as shuffle partitions."""
+    register.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
 def add_typed_dates(register: DataFrame) -> DataFrame:
     """Beside each ISO text date, its calendar date; null where the text names no day."""
     names = ("filing_date", "priority_date", "registration_date", "expiry_date")

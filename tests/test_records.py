@@ -1,5 +1,7 @@
 """Filters, upserts, the register table, ingest."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,23 @@ def test_register_table(spark):
     assert as_set(merged) == expected and merged.schema.names == REGISTER.names
 
 
+def test_bucketed_base_is_not_shuffled(spark):
+    rows = spark.range(50).selectExpr("CAST(id AS STRING) AS application_number", "'m' AS mark_name", "'t' AS scraped_at")
+    name = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{fresh_path(spark, 'db')}'")
+    table.save_bucketed(rows, f"{name}.register", 8)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = upsert.upsert(spark.table(f"{name}.register"), rows.where("application_number < '2'"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        base_side = plan[plan.index("LeftAnti") : plan.index("FileScan")]
+        assert "Exchange" not in base_side and "Bucketed: true" in plan
+        assert kept.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_typed_dates(marks):
     rows = {r["id"]: r["filing_day"] for r in table.add_typed_dates(marks).collect()}
     assert str(rows["1"]) == "2024-03-15" and rows["3"] is None
