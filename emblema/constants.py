@@ -77,6 +77,7 @@ URL_NUMBER_PATTERN = r"/trademarks/(\d{6,12})"
 UNKNOWN_MARK = "Unknown Mark"
 BULLETIN_SOURCE = "euipo_bulletin"
 LINKS_PER_PAGE = 20
+ITEMS_SHOWN = 20
 
 # --- sound of a name: replacements applied in this order -----------------------------------------------
 TRANSLITERATION = (

@@ -24,6 +24,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """Vector of length one; null for a zero vector."""
+    """Vector of length one; null for a zero vector and for one that is not all numbers."""
     length = norm(vector)
-    return F.when(length > 0, F.transform(as_double(vector), lambda x: x / length))
+    return F.when((length > 0) & ~F.isnan(length), F.transform(as_double(vector), lambda x: x / length))

@@ -23,7 +23,8 @@ ROWS_PER_FILE = 1_000_000
 
 
 def _usable(vector: Column, dim: int) -> Column:
-    return (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    """The right size. Vectors with missing or endless numbers, or of length zero, get no score in the tasks."""
+    return F.size(vector) == dim
 
 
 def _query_side(queries: DataFrame, query_id: str, query_vector: str, scan_queries: int, *extra: str):

@@ -77,6 +77,16 @@ def image_search(register: DataFrame, queries: DataFrame, k: int, **names) -> Da
     return nearest(register, queries, k, vector="image_vector", **names)
 
 
+def response(rows: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """One row with one JSON text for a caller outside Spark: success, count, results. Holds ``limit`` rows at most,
+    the first by application number and id."""
+    first = first_rows(without_vectors(rows), limit)
+    packed = first.agg(F.sort_array(F.collect_list(F.struct(*first.columns))).alias("results"))
+    return packed.select(
+        F.to_json(F.struct(F.lit(True).alias("success"), F.size("results").alias("count"), "results")).alias("json")
+    )
+
+
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
     """One JSON object per row, vectors left out, letters kept as they are."""
     plain = without_vectors(rows)

@@ -239,6 +239,33 @@ grank AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC
 ENCODER_TEXT = "mark_name || ' | ' || array_to_string(list_transform(list_sort(nice_classes), lambda c: 'Class ' || c), ', ')"
 
 
+
+
+def ngram_vector(text: str) -> str:
+    """SQL for the stand-in encoder: hashed character trigrams, unit length, single precision."""
+    return f"""(SELECT list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v)))::FLOAT) FROM (
+  SELECT list_transform(range(0, 64), lambda d: len(list_filter(g, lambda x: x = d))::DOUBLE) AS v FROM (
+    SELECT list_transform(range(1, len(u) - 1), lambda i: (u[i] * 961 + u[i + 1] * 31 + u[i + 2]) % 64) AS g FROM (
+      SELECT list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT) AS u))))"""
+
+
+ALERTS = f"""{REGISTER}, {items()},
+cn AS (SELECT name, {ngram_vector("'query: ' || name")} AS v FROM (SELECT DISTINCT mark_name AS name FROM items)),
+mn AS (SELECT name, {ngram_vector("'passage: ' || name")} AS v FROM (SELECT DISTINCT mark_name AS name FROM register)),
+names AS (
+  SELECT cn.name AS candidate_name, mn.name AS mark_name, round({COSINE.format(a='cn.v', b='mn.v')}, 4) AS s,
+    {sound_key('cn.name')} AS a, {sound_key('mn.name')} AS b FROM cn, mn),
+pairs AS (
+  SELECT items.application_number AS query_id, candidate_name, id, names.mark_name, s, a, b FROM items
+  JOIN names ON candidate_name = items.mark_name JOIN register ON register.mark_name = names.mark_name),
+best AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank FROM pairs)
+  WHERE rank <= 10),
+compared AS (SELECT *, {sound('a', 'b')} AS snd FROM best),
+alerts AS (
+  SELECT query_id, candidate_name, rank, id, mark_name, s AS semantic, round(snd, 4) AS sound,
+    0.5::DOUBLE * s + 0.5::DOUBLE * snd AS o FROM compared)"""
+
 ORACLE: dict[str, str] = {
     "search_text_like": register_rows("mark_name LIKE '%red%'"),
     "search_all_classes": register_rows("list_contains(nice_classes, 9) AND list_contains(nice_classes, 35)"),
@@ -342,6 +369,18 @@ WHERE form IN (0, 6) AND title <> '' """,
     "bulletin_items_with_records": f"""WITH {REGISTER}, {items()}
 SELECT page_id, position, items.application_number, id AS record_id, register.mark_name AS registered_name, status
 FROM items LEFT JOIN register USING (application_number)""",
+    "first_crawled": f"WITH {items()} SELECT page_id, position, application_number, mark_name FROM items ORDER BY page_id, position LIMIT 20",
+    "bulletin_alerts": f"""WITH {ALERTS}
+SELECT query_id, candidate_name, rank, id, mark_name, semantic, sound, round(o, 4) AS overall,
+CASE WHEN o > 0.80::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM alerts WHERE o > 0.65::DOUBLE""",
+    "search_json": f"""WITH {REGISTER} SELECT to_json(struct_pack(id := id, mark_name := mark_name, nice_classes := nice_classes,
+filing_date := filing_date, status := status))::VARCHAR AS json FROM register WHERE list_has_any(nice_classes, [9, 42])""",
+    "search_response": f"""WITH {REGISTER}, first AS (
+  SELECT struct_pack(application_number := application_number, id := id, mark_name := mark_name, nice_classes := nice_classes) AS r
+  FROM register WHERE status = 'opposed' ORDER BY application_number, id LIMIT 20)
+SELECT to_json(struct_pack(success := true, count := count(*), results := list(r ORDER BY r)))::VARCHAR AS json FROM first""",
+    "labelled_numbers": f"""WITH {LETTERS}
+SELECT doc_id, array_to_string(regexp_extract_all(text, '(?i)[a-z]+: *([0-9]+)', 1), '|') AS numbers FROM letters""",
     "crawl_statistics": f"WITH {items()} SELECT 'euipo_bulletin' AS source, count(*) AS items, count(application_number) AS with_number FROM items",
     "letter_format": formatted("documents", "doc_id"),
     "letter_format_letters": formatted(f"(SELECT o_orderkey AS doc_id, {views.LETTER} AS text FROM orders)", "doc_id"),

@@ -12,7 +12,7 @@ from emblema.functions.numbers import rounded
 from emblema.functions.keys import cache_key, encoder_text
 from emblema.functions.letters import format_letter
 from emblema.functions.names import band, letter_similarity, name_similarity, sound_key, transliterate
-from emblema.functions.text import calendar_date, iso_date, status_from_wording
+from emblema.functions.text import calendar_date, field_list, iso_date, status_from_wording
 from emblema.operators import filters, lexical, nearest, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
 from emblema.operators.pages import stitch_pages
@@ -94,6 +94,18 @@ def lookup_application_number(spark, sf_dir):
     return flat(filters.by_application_number(views.register(spark, sf_dir), "000000042"))
 
 
+@query
+def search_json(spark, sf_dir):
+    rows = filters.filter_register(views.register(spark, sf_dir), any_classes=[9, 42])
+    return search.as_json(rows.select("id", "mark_name", "nice_classes", "filing_date", "status"))
+
+
+@query
+def search_response(spark, sf_dir):
+    rows = filters.filter_register(views.register(spark, sf_dir), status="opposed")
+    return search.response(rows.select("application_number", "id", "mark_name", "nice_classes"))
+
+
 @query
 def hybrid_search_text(spark, sf_dir):
     return flat(search.hybrid_search(views.register(spark, sf_dir), "blue", status="registered"))
@@ -419,6 +431,22 @@ def bulletin_items_with_records(spark, sf_dir):
     return joined.select("page_id", "position", "application_number", "record_id", "registered_name", "status")
 
 
+@query
+def first_crawled(spark, sf_dir):
+    items = bulletin.first_crawled(bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir)))
+    return items.select("page_id", "position", "application_number", "mark_name")
+
+
+@query
+def bulletin_alerts(spark, sf_dir):
+    """Every bulletin item cleared against the whole register, vectors from the stand-in encoder."""
+    encoder = ngram_encoder(64)
+    watched = embed_column(views.register(spark, sf_dir), "mark_name", encoder)
+    items = bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir))
+    found = watch.alerts(items, watched, encoder, levels=("HIGH", "MEDIUM"))
+    return found.select("query_id", "candidate_name", "rank", "id", "mark_name", "semantic", "sound", "overall", "risk")
+
+
 @query
 def crawl_statistics(spark, sf_dir):
     return bulletin.crawl_statistics(bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir)))
@@ -497,6 +525,13 @@ for _mode in legal.MODES:
 
 
 # --- encoding ---------------------------------------------------------------------------------------------
+@query
+def labelled_numbers(spark, sf_dir):
+    """Every number behind a label, from the whole letter."""
+    every = field_list(F.col("text"), r"[a-z]+: *([0-9]+)")
+    return views.letters(spark, sf_dir).select("doc_id", F.array_join(every, "|").alias("numbers"))
+
+
 @query
 def encoder_inputs(spark, sf_dir):
     marks = views.register(spark, sf_dir)
