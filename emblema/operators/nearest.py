@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -85,16 +87,32 @@ def cells_for(rows: int) -> int:
     return max(1, min(MAX_CELLS, rows // ROWS_PER_CELL))
 
 
-def train_cells(register: DataFrame, dim: int, *, vector: str = "text_vector", cells: int, rows: int, seed: int = 42) -> np.ndarray:
-    """Cell centres by cosine k-means. Training sees a bounded sample; every row is assigned and searched later."""
+def _common_size(register: DataFrame, vector: str) -> int:
+    """Vector size of most of the first rows that have one."""
+    sizes = Counter(r[0] for r in register.where(F.size(vector) > 0).select(F.size(vector)).take(1000))
+    if not sizes:
+        raise ValueError("the register holds no vectors")
+    return sizes.most_common(1)[0][0]
+
+
+def train_cells(
+    register: DataFrame, *, vector: str = "text_vector", cells: int, rows: int, seed: int = 42
+) -> tuple[np.ndarray, list[float]]:
+    """Cell centres by cosine k-means, and the share of the rows each cell will get.
+
+    Training sees a bounded sample, and the shares are those of the sample. Every row is assigned and searched later.
+    """
     wanted = cells * TRAINING_ROWS_PER_CELL
-    points = register.where(_usable(F.col(vector), dim)).select(unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
+    dim = _common_size(register, vector)
+    points = register.where(_usable(F.col(vector), dim)).select(unit(F.col(vector)).alias("v"))
     if rows > wanted:
         points = points.sample(fraction=wanted / rows, seed=seed)
-    points = points.select(array_to_vector("v").alias("features")).persist()
+    points = points.where("v IS NOT NULL").withColumn("features", array_to_vector("v")).persist()
     model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(points)
+    centres = np.array(model.clusterCenters())
+    counts = {r["cell"]: r["count"] for r in assign_cells(points, centres, vector="v").groupBy("cell").count().collect()}
     points.unpersist()
-    return np.array(model.clusterCenters())
+    return centres, [counts.get(cell, 0) / sum(counts.values()) for cell in range(len(centres))]
 
 
 def assign_cells(register: DataFrame, centres: np.ndarray, *, vector: str = "text_vector") -> DataFrame:
@@ -132,25 +150,18 @@ def build_index(
 ) -> CellIndex:
     """Trains cells, assigns every row and writes the register by cell, so a search reads only the cells it probes.
 
-    A cell is spread over files of bounded size by a hash of the id, however large it is. Vectors of another size
-    than most have are left out, as are rows without one.
+    A cell is spread over files of about a million rows by a hash of the id, however large it is. Rows without a
+    vector, or with one of another size than most have, are left out.
     """
-    by_size = register.where(F.size(vector) > 0).groupBy(F.size(vector).alias("dim")).count()
-    common = by_size.orderBy(F.col("count").desc(), "dim").first()
-    if common is None:
-        raise ValueError("the register holds no vectors")
-    dim, rows = common["dim"], common["count"]
-    centres = train_cells(register, dim, vector=vector, cells=cells or cells_for(rows), rows=rows)
-    assigned = assign_cells(register, centres, vector=vector).where(F.col("cell").isNotNull())
-    # one number per cell, so its length is the number of cells
-    sizes = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}
-    files = F.array(*[F.lit(-(-sizes.get(cell, 0) // ROWS_PER_FILE)) for cell in range(len(centres))])
+    rows = register.count()
+    centres, shares = train_cells(register, vector=vector, cells=cells or cells_for(rows), rows=rows)
+    files = F.array(*[F.lit(math.ceil(share * rows / ROWS_PER_FILE) or 1) for share in shares])
     part = F.pmod(F.xxhash64(item_id), F.get(files, F.col("cell")))
+    assigned = assign_cells(register, centres, vector=vector).where(F.col("cell").isNotNull())
     assigned.repartition("cell", part).write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/rows")
     spark = register.sparkSession
-    spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>"
-    ).write.parquet(f"{path}/centres")
+    numbered = pa.table({"cell": pa.array(range(len(centres)), pa.int32()), "centre": centres.tolist()})
+    spark.createDataFrame(numbered).coalesce(1).write.parquet(f"{path}/centres")
     return open_index(spark, path, vector=vector)
 
 
