@@ -28,8 +28,8 @@ def is_heading(line: Column) -> Column:
     return line.rlike(r"\p{Lu}") & ~line.rlike(r"[\p{Ll}\p{Lt}]") & (F.length(line) < HEADING_MAX_CHARS)
 
 
-def format_line(line: Column) -> Column:
-    text = strip(line)
+def format_line(text: Column) -> Column:
+    """Markdown of a stripped line."""
     legal = None
     for start in HEADING_STARTS:
         legal = text.startswith(start) if legal is None else legal | text.startswith(start)
@@ -41,7 +41,8 @@ def format_line(line: Column) -> Column:
 
 
 def format_letter(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), format_line), "\n")
+    lines = F.transform(F.split(text, "\n"), strip)
+    return F.array_join(F.transform(lines, format_line), "\n")
 
 
 def objection_codes(text: Column) -> Column:

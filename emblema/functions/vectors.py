@@ -25,5 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Vector of length one; null for a zero vector and for one that is not all numbers."""
-    length = norm(vector)
-    return F.when((length > 0) & ~F.isnan(length), F.transform(as_double(vector), lambda x: x / length))
+
+    def divided(length):
+        return F.when((length > 0) & ~F.isnan(length), F.transform(as_double(vector), lambda x: x / length))
+
+    # the length as the one element of an array: an expression inside a lambda would be computed per element
+    return F.get(F.transform(F.array(norm(vector)), divided), F.lit(0))
