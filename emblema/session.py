@@ -50,8 +50,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files give fewer splits than there are cores, as a single small file does.
-    A table of many splits is left as it is."""
+    """A table just read, its rows over all cores if the files give fewer splits than there are cores, as a single
+    small file does. A table of many splits is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
