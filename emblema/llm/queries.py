@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, toxicity
+from . import minhash, mixing, packing, quality, toxicity
 from .common import table
 
 
@@ -22,9 +22,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.label_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_packing, op7_mixing, op9_toxicity)}
-ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_packing, op7_mixing, op8_minhash, op9_toxicity)}
+ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE}
