@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, minhash, mixing, packing, quality, secrets, toxicity
+from . import fingerprints, licences, minhash, mixing, packing, quality, repeats, search, secrets, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licences, op3_quality, op4_packing, op5_secrets, op7_mixing, op8_minhash, op9_toxicity)}
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_licences, op2_suffixes, op3_quality, op4_packing, op5_secrets, op6_fingerprints, op7_mixing, op8_minhash, op9_toxicity, op10_search)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE}
