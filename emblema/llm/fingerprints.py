@@ -120,60 +120,54 @@ def peeled(cells_of: Column, cells: int) -> Column:
     )
 
 
-def difference(a: Column, b: Column) -> Column:
-    """``mine, theirs``: how many digests only ``a`` or only ``b`` has, by sketches that grow until they peel.
-
-    Should the largest fail too, the digests are compared as they are.
-    """
-
-    def attempt(k: int) -> Column:
-        cells = CELLS * LARGER[k]
-        found = peeled(subtracted(sketch(a, cells), sketch(b, cells)), cells)
-        last = F.struct(F.size(F.array_except(a, b)).alias("mine"), F.size(F.array_except(b, a)).alias("theirs"))
-        return bound(
-            found,
-            lambda r: F.when(r["ok"], F.struct(F.size(r["mine"]).alias("mine"), F.size(r["theirs"]).alias("theirs"))).otherwise(attempt(k + 1) if k + 1 < len(LARGER) else last),
-        )
-
-    return attempt(0)
-
-
 def ranges(keys: Column, groups: Column, seed: str) -> Column:
     """``keys`` in ``groups`` arrays by hash."""
     marked = F.transform(keys, lambda d: F.struct(F.pmod(F.xxhash64(d, F.lit(seed)), groups).alias("g"), d.alias("d")))
     return bound(marked, lambda m: F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), lambda g: F.transform(F.filter(m, lambda x: x["g"] == g), lambda x: x["d"])))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared digests over all digests of two texts.
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds ``name``: shared digests over all digests of the texts whose digests are in columns ``a`` and ``b``.
 
     The digests go to small sketches of about ``LOAD`` by two rounds of hashing, the square root of their number each
-    time, so no step scans all digests for each sketch.
+    time, so no step scans all digests for each sketch. Small sketches that don't peel are made again with more cells;
+    should the largest fail too, their digests are compared as they are.
     """
-    small = F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD)))
-    side = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.sqrt(small)).cast("bigint"))
-
-    def inner(pair: Column) -> Column:
-        both = F.size(pair["x"]) + F.size(pair["y"])
-        groups = F.greatest(F.lit(1).cast("bigint"), F.ceil(both / F.lit(float(LOAD))).cast("bigint"))
-        return bound(
-            groups,
-            lambda n: F.aggregate(
-                F.zip_with(ranges(pair["x"], n, "inner"), ranges(pair["y"], n, "inner"), lambda x, y: F.when(F.size(x) + F.size(y) > 0, difference(x, y))),
-                F.struct(F.lit(0).alias("mine"), F.lit(0).alias("theirs")),
-                lambda s, d: F.struct((s["mine"] + F.coalesce(d["mine"], F.lit(0))).alias("mine"), (s["theirs"] + F.coalesce(d["theirs"], F.lit(0))).alias("theirs")),
-            ),
+    one = F.lit(1).cast("bigint")
+
+    def zipped(x: Column, y: Column, groups: Column, seed: str) -> Column:
+        return F.zip_with(ranges(x, groups, seed), ranges(y, groups, seed), lambda p, q: F.struct(p.alias("x"), q.alias("y")))
+
+    both = F.size(a) + F.size(b)
+    side = F.greatest(one, F.ceil(F.sqrt(F.ceil(both / F.lit(float(LOAD))))).cast("bigint"))
+    rows = rows.withColumn("_side", side).withColumn("_outer", zipped(F.col(a), F.col(b), F.col("_side"), "outer"))
+    inner = F.transform("_outer", lambda p: zipped(p["x"], p["y"], F.greatest(one, F.ceil((F.size(p["x"]) + F.size(p["y"])) / F.lit(float(LOAD))).cast("bigint")), "inner"))
+    rows = rows.withColumn("_open", F.filter(F.flatten(inner), lambda p: F.size(p["x"]) + F.size(p["y"]) > 0))
+    rows = rows.withColumns({"_mine": F.lit(0), "_theirs": F.lit(0)})
+
+    def summed(column: str, value) -> Column:
+        return F.aggregate(column, F.lit(0), lambda s, r: s + value(r))
+
+    def apart(cells: int) -> Column:
+        return F.transform("_open", lambda p: subtracted(sketch(p["x"], cells), sketch(p["y"], cells)))
+
+    def peeling(cells: int) -> Column:
+        return F.transform("_apart", lambda c: peeled(c, cells))
+
+    for larger in LARGER:
+        rows = rows.withColumn("_apart", apart(CELLS * larger)).withColumn("_peeled", peeling(CELLS * larger))
+        rows = rows.withColumns(
+            {
+                "_mine": F.col("_mine") + summed("_peeled", lambda r: F.when(r["ok"], F.size(r["mine"])).otherwise(0)),
+                "_theirs": F.col("_theirs") + summed("_peeled", lambda r: F.when(r["ok"], F.size(r["theirs"])).otherwise(0)),
+                "_open": F.transform(F.filter(F.zip_with("_open", "_peeled", lambda p, r: F.struct(p.alias("p"), r["ok"].alias("ok"))), lambda z: ~z["ok"]), lambda z: z["p"]),
+            }
         )
-
-    found = bound(
-        side,
-        lambda n: F.aggregate(
-            F.zip_with(ranges(a, n, "outer"), ranges(b, n, "outer"), lambda x, y: inner(F.struct(x.alias("x"), y.alias("y")))),
-            F.struct(F.lit(0).alias("mine"), F.lit(0).alias("theirs")),
-            lambda s, d: F.struct((s["mine"] + d["mine"]).alias("mine"), (s["theirs"] + d["theirs"]).alias("theirs")),
-        ),
-    )
-    return bound(found, lambda d: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise((F.size(a) - d["mine"]) / (F.size(a) + d["theirs"])))
+    mine = F.col("_mine") + summed("_open", lambda p: F.size(F.array_except(p["x"], p["y"])))
+    theirs = F.col("_theirs") + summed("_open", lambda p: F.size(F.array_except(p["y"], p["x"])))
+    rows = rows.withColumns({"_mine": mine, "_theirs": theirs})
+    near = F.when(both == 0, 1.0).otherwise((F.size(a) - F.col("_mine")) / (F.size(a) + F.col("_theirs")))
+    return rows.withColumn(name, near).drop("_side", "_outer", "_open", "_mine", "_theirs", "_apart", "_peeled")
 
 
 def fingerprint(keys: Column) -> Column:
@@ -221,12 +215,14 @@ def compared(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     rows = rows.withColumn("edited", edited)
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"))
+    rows = with_likeness(rows, "keys", "edited_keys", "near_edited")
+    rows = with_likeness(rows, "keys", "next_keys", "near_next")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("keys")).alias("fingerprint"),
         fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
