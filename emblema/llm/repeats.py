@@ -195,7 +195,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = only(docs, "text").select(F.xxhash64("text").alias("text_key"), "text")
     found = settled(with_anchors(texts, length, gram), "anchors")
     by_gram = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
-    shared = by_gram.where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed"))
+    # written first: a join of two plain tables can split a gram that very many texts have
+    shared = settled(by_gram.where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed")), "shared-grams")
     rows = settled(found.join(shared, "gram"), "shared-anchors")
     several = rows.where("mixed").groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "position")).alias("at"))
     several = settled(several, "surroundings")
