@@ -1,9 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (sentences and lines, a long one every 160 characters) and their digests are hashed into
-cells that hold a count, the exclusive or of digests and of their checksums. Two sketches subtract cell by cell, and
-peeling the difference recovers the digests that only one of them has. If cells are left over, the digests are
-sketched again into more cells. All work is DataFrame operations.
+A text is cut into paragraphs (sentences and lines, a long one every 160 characters). A digest is 44 bits of a
+paragraph's hash and 20 bits of checksum, and each is combined by exclusive or into three cells. Two sketches subtract
+cell by cell: what both have cancels out, and peeling the difference recovers the digests that only one of them has, as
+a cell with one digest is known by its checksum. If cells are left over, the digests are sketched again into more
+cells. All work is DataFrame operations.
 
 A sketch of a long text is many small ones, each for the digests of one hash range, so peeling stays linear in the text.
 
@@ -34,90 +35,61 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def checked(high: Column) -> Column:
+    """44 bits with their checksum below them."""
+    return F.shiftleft(high, 20).bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << 20) - 1)))
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of the paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: checked(F.shiftrightunsigned(F.xxhash64(p), 20))))
 
 
-def cell_of(digest: Column, which: Column, cells: int) -> Column:
-    return F.pmod(F.xxhash64(digest, which), F.lit(cells))
+def placed(keys: Column, cells: int) -> Column:
+    """Each digest with its three cells."""
 
+    def cell(d: Column, j: int) -> Column:
+        return (F.pmod(F.shiftrightunsigned(d, 20 + 13 * j).bitwiseXOR(F.shiftrightunsigned(d, 40)), F.lit(cells)) + j * cells).cast("int").alias(f"at{j}")
 
-def check_of(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check"))
+    return F.transform(keys, lambda d: F.struct(d.alias("d"), *[cell(d, j) for j in range(3)]))
 
 
 def sketch(keys: Column, cells: int) -> Column:
-    """Three rows of ``cells`` cells: ``n``, ``key``, ``check``."""
-    placed = F.transform(
-        keys, lambda d: F.struct(d.alias("d"), check_of(d).alias("c"), F.array(*[cell_of(d, F.lit(j), cells) + j * cells for j in range(3)]).alias("at"))
-    )
-    zero = F.lit(0).cast("bigint")
+    """Three rows of ``cells`` cells."""
 
-    def cell(own: Column) -> Column:
-        return F.struct(
-            F.size(own).cast("bigint").alias("n"),
-            F.aggregate(own, zero, lambda a, x: a.bitwiseXOR(x["d"])).alias("key"),
-            F.aggregate(own, zero, lambda a, x: a.bitwiseXOR(x["c"])).alias("check"),
+    def cell(p: Column, i: Column) -> Column:
+        return F.aggregate(
+            p, F.lit(0).cast("bigint"), lambda held, x: F.when((x["at0"] == i) | (x["at1"] == i) | (x["at2"] == i), held.bitwiseXOR(x["d"])).otherwise(held)
         )
 
-    return bound(
-        placed,
-        lambda p: F.transform(
-            F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda i: bound(F.filter(p, lambda x: F.element_at(x["at"], (i / cells).cast("int") + 1) == i), cell)
-        ),
-    )
+    return bound(placed(keys, cells), lambda p: F.transform(F.array(*[F.lit(i) for i in range(3 * cells)]), lambda i: cell(p, i)))
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a,
-        b,
-        lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")),
-    )
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
 def peeled(cells_of: Column, cells: int) -> Column:
-    """``ok, mine, theirs``: whether all cells came out empty, and the digests that only the one or only the other has.
+    """``ok, found``: whether all cells came out empty, and how many digests only one of the two sketches has.
 
-    A round takes every cell that holds one digest and removes it from its three cells. A sketch has three times
-    ``cells`` cells, so that many rounds are enough; a round that finds none changes nothing.
+    A round takes every cell that holds one digest and removes it from its three cells.
     """
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(cells_of.alias("cells"), empty.alias("mine"), empty.alias("theirs"))
+    start = F.struct(cells_of.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("done"))
 
-    def step(state: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check_of(c["key"]) == c["check"]))
-        return bound(pure, lambda found: F.when(F.size(found) == 0, state).otherwise(removed(state, found)))
-
-    def removed(state: Column, pure: Column) -> Column:
-        found = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"))))
-
-        def without(c: Column, i: Column, taken: Column) -> Column:
-            mine = F.filter(taken, lambda p: F.element_at(F.array(*[cell_of(p["key"], F.lit(j), cells) + j * cells for j in range(3)]), (i / cells).cast("int") + 1) == i)
-            return F.when(F.size(mine) == 0, c).otherwise(
-                F.aggregate(
-                    mine,
-                    c,
-                    lambda x, p: F.struct((x["n"] - p["n"]).alias("n"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["check"].bitwiseXOR(p["check"]).alias("check")),
-                )
-            )
-
-        return bound(
-            found,
-            lambda taken: F.struct(
-                F.transform(state["cells"], lambda c, i: without(c, i, taken)).alias("cells"),
-                F.concat(state["mine"], F.transform(F.filter(taken, lambda p: p["n"] == 1), lambda p: p["key"])).alias("mine"),
-                F.concat(state["theirs"], F.transform(F.filter(taken, lambda p: p["n"] == -1), lambda p: p["key"])).alias("theirs"),
-            ),
+    def pure(state: Column) -> Column:
+        return F.array_distinct(F.filter(state["cells"], lambda c: (c != 0) & (c == checked(F.shiftrightunsigned(c, 20)))))
+
+    def removed(state: Column, taken: Column) -> Column:
+        return F.when(F.size(taken) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done"))).otherwise(
+            F.struct(subtracted(state["cells"], sketch(taken, cells)).alias("cells"), (state["found"] + F.size(taken)).alias("found"), F.lit(False).alias("done"))
         )
 
-    rounds = F.sequence(F.lit(1), F.lit(min(3 * cells, 24)))
+    def step(state: Column) -> Column:
+        return F.when(state["done"], state).otherwise(bound(pure(state), lambda taken: removed(state, taken)))
+
+    rounds = F.array(*[F.lit(k) for k in range(24)])
     ended = F.aggregate(rounds, start, lambda state, _: step(state))
-    return bound(
-        ended,
-        lambda e: F.struct(F.forall(e["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)).alias("ok"), e["mine"].alias("mine"), e["theirs"].alias("theirs")),
-    )
+    return bound(ended, lambda e: F.struct(F.forall(e["cells"], lambda c: c == 0).alias("ok"), e["found"].alias("found")))
 
 
 def ranges(keys: Column, groups: Column, seed: str) -> Column:
@@ -143,41 +115,32 @@ def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     rows = rows.withColumn("_side", side).withColumn("_outer", zipped(F.col(a), F.col(b), F.col("_side"), "outer"))
     inner = F.transform("_outer", lambda p: zipped(p["x"], p["y"], F.greatest(one, F.ceil((F.size(p["x"]) + F.size(p["y"])) / F.lit(float(LOAD))).cast("bigint")), "inner"))
     rows = rows.withColumn("_open", F.filter(F.flatten(inner), lambda p: F.size(p["x"]) + F.size(p["y"]) > 0))
-    rows = rows.withColumns({"_mine": F.lit(0), "_theirs": F.lit(0)})
+    rows = rows.withColumn("_apart_in", F.lit(0))
 
     def summed(column: str, value) -> Column:
         return F.aggregate(column, F.lit(0), lambda s, r: s + value(r))
 
     def apart(cells: int) -> Column:
-        return F.transform("_open", lambda p: subtracted(sketch(p["x"], cells), sketch(p["y"], cells)))
-
-    def peeling(cells: int) -> Column:
-        return F.transform("_apart", lambda c: peeled(c, cells))
+        return F.transform("_open", lambda p: peeled(subtracted(sketch(p["x"], cells), sketch(p["y"], cells)), cells))
 
     for larger in LARGER:
-        rows = rows.withColumn("_apart", apart(CELLS * larger)).withColumn("_peeled", peeling(CELLS * larger))
+        rows = rows.withColumn("_peeled", apart(CELLS * larger))
         rows = rows.withColumns(
             {
-                "_mine": F.col("_mine") + summed("_peeled", lambda r: F.when(r["ok"], F.size(r["mine"])).otherwise(0)),
-                "_theirs": F.col("_theirs") + summed("_peeled", lambda r: F.when(r["ok"], F.size(r["theirs"])).otherwise(0)),
+                "_apart_in": F.col("_apart_in") + summed("_peeled", lambda r: F.when(r["ok"], r["found"]).otherwise(0)),
                 "_open": F.transform(F.filter(F.zip_with("_open", "_peeled", lambda p, r: F.struct(p.alias("p"), r["ok"].alias("ok"))), lambda z: ~z["ok"]), lambda z: z["p"]),
             }
         )
-    mine = F.col("_mine") + summed("_open", lambda p: F.size(F.array_except(p["x"], p["y"])))
-    theirs = F.col("_theirs") + summed("_open", lambda p: F.size(F.array_except(p["y"], p["x"])))
-    rows = rows.withColumns({"_mine": mine, "_theirs": theirs})
-    near = F.when(both == 0, 1.0).otherwise((F.size(a) - F.col("_mine")) / (F.size(a) + F.col("_theirs")))
-    return rows.withColumn(name, near).drop("_side", "_outer", "_open", "_mine", "_theirs", "_apart", "_peeled")
+    left = summed("_open", lambda p: F.size(F.array_except(p["x"], p["y"])) + F.size(F.array_except(p["y"], p["x"])))
+    rows = rows.withColumn("_apart_in", F.col("_apart_in") + left)
+    # what is not apart stands in both
+    near = F.when(both == 0, 1.0).otherwise((both - F.col("_apart_in")) / (both + F.col("_apart_in")))
+    return rows.withColumn(name, near).drop("_side", "_outer", "_open", "_peeled", "_apart_in")
 
 
 def fingerprint(keys: Column) -> Column:
-    """The small sketch of all digests, in hexadecimal: for each cell its count, key and checksum."""
-    return F.concat_ws(
-        "-",
-        F.transform(
-            sketch(keys, CELLS), lambda c: F.concat(F.lower(F.hex(c["n"])), F.lit("."), F.lower(F.hex(c["key"])), F.lit("."), F.lower(F.hex(F.shiftrightunsigned(c["check"], 32))))
-        ),
-    )
+    """The small sketch of all digests, in hexadecimal."""
+    return F.array_join(F.transform(sketch(keys, CELLS), lambda c: F.lower(F.hex(c))), "-")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
