@@ -26,7 +26,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as their source's target asks for; a document taken twice is two rows."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    return mixing.repeated(mixing.mix(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def copy_scales(sized: DataFrame, sources: DataFrame, most: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, importance: Column | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` (with ``doc_id, text, source``) and ``size, source_size, target, copies``: how often each is taken.
+    """``row`` (a document with all its columns; ``doc_id, text, source`` are read), ``size, source_size, target, copies``: how often each is taken.
 
     ``importance`` makes documents of a source unequally likely; without it all have the same expected copies. Counts
     by source and by bucket of the rank are combined on the map side, so a hot source costs no more than others; only
@@ -128,22 +128,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
     ranked = ranks(planned(sized, sources))
     cuts = settled(cut_points(ranked), "mix-cuts")
     sources = sources.alias("s").join(cuts.withColumnRenamed("source", "_cut_source"), F.col("s.source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source")
-    taken = ranks(
-        planned(
-            docs.withColumns(
-                {
-                    "size": word_count(F.col("text")),
-                    "u": chance(F.col("doc_id"), F.col("text"), seed),
-                    "importance": F.lit(1.0) if importance is None else importance.cast("double"),
-                }
-            ),
-            settled(sources, "mix-plan"),
-        )
+    # the document goes along as one column, so none of its names can clash
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        "source",
+        word_count(F.col("text")).alias("size"),
+        chance(F.col("doc_id"), F.col("text"), seed).alias("u"),
+        (F.lit(1.0) if importance is None else importance.cast("double")).alias("importance"),
     )
+    taken = ranks(planned(rows, settled(sources, "mix-plan")))
     extra = F.coalesce((F.col("rank") <= F.col("cut")) | F.coalesce(F.col("rank") == F.col("fill"), F.lit(False)), F.lit(False)).cast("bigint")
-    return taken.withColumn("copies", F.col("whole") + extra).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies")], "size", "source_size", "target", "copies"
-    )
+    return taken.select("row", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
 def ranks(df: DataFrame) -> DataFrame:
@@ -188,14 +183,15 @@ def cut_points(ranked: DataFrame) -> DataFrame:
     return cut.join(nearest, F.col("source").eqNullSafe(F.col("_n")), "left").select("source", "cut", "fill")
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeated(mixed: DataFrame) -> DataFrame:
     """A mix as documents: each row as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def mix_words(docs: DataFrame) -> DataFrame:
     """The query: words taken of each document."""
-    return mix(only(docs, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    words = (F.col("copies") * F.col("size")).alias("taken")
+    return mix(only(docs, "doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", words, "row.source", "copies")
 
 
 ORACLE = r"""

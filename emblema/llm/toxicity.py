@@ -40,6 +40,7 @@ IDENTITY_TERMS = (
     ("disabled", "deaf", "blind", "elderly", "young"),
 )
 BEGINNINGS = (4, 5, 6)
+_IDENTITY = {term for group in IDENTITY_TERMS for term in group}
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"[^.!?\n]+")
 
@@ -61,8 +62,9 @@ def swaps(text: str, groups: tuple = IDENTITY_TERMS) -> Counter:
 
 
 def features_of(word: str) -> list[str]:
-    """The word and its beginnings: an insult is inflected and compounded."""
-    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) >= k)]
+    """The word and its beginnings, as an insult is inflected and compounded; an identity term is itself alone, so that a swap
+    exchanges one feature for another."""
+    return [word] if word in _IDENTITY else [word, *("^" + word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
 def bag_of(text: str) -> Counter:
@@ -132,7 +134,7 @@ def descend(bags: list[dict[str, int]], labels: np.ndarray, pairs: Counter, fair
     for bag in bags:
         documents.update(bag.keys())
     named = {t for a, b, _ in pairs for t in (a, b)}
-    vocabulary = {w: j for j, w in enumerate(sorted(w for w, n in documents.items() if n >= LEAST_DOCUMENTS or w in named))}
+    vocabulary = {w: j for j, w in enumerate(sorted({w for w, n in documents.items() if n >= LEAST_DOCUMENTS} | named))}
     kept = [[(vocabulary[w], c) for w, c in bag.items() if w in vocabulary] for bag in bags]
     row = np.repeat(np.arange(total), [len(k) for k in kept])
     column = np.array([j for k in kept for j, _ in k], np.int64)
