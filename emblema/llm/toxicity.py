@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emblema.session import settled
+
 from .common import fold, only
 
 #: The bound on labelled rows that the classifier is fitted on; chosen by a hash of the id, toxic and other rows alike.
@@ -123,7 +125,7 @@ def telling(bags: list[dict[str, int]], labels: np.ndarray, features: int = FEAT
     return [w for _, w in ranked[:features]]
 
 
-def descend(bags: list[dict[str, int]], labels: np.ndarray, pairs: Counter, fairness: float, sparsity: float, ridge: float, rounds: int = 300) -> WordModel:
+def descend(bags: list[dict[str, int]], labels: np.ndarray, pairs: Counter, fairness: float, sparsity: float, ridge: float, rounds: int = 800) -> WordModel:
     """Proximal gradient descent on logistic loss + ``sparsity`` * |weights| + ``ridge`` * weights squared + ``fairness`` * mean
     squared change of score under swaps."""
     total, positive = len(labels), float(np.sum(labels))
@@ -150,12 +152,12 @@ def descend(bags: list[dict[str, int]], labels: np.ndarray, pairs: Counter, fair
     weight = weight / weight.sum() if len(weight) else weight
     w, bias, size = np.zeros(len(vocabulary)), float(np.log(positive / (total - positive))), len(vocabulary)
     curve = np.ones(size + 1)  # the largest curvature of the loss, by power iteration
-    for _ in range(12):
+    for _ in range(40):
         curve = curve / np.linalg.norm(curve)
         through = np.bincount(row, value * curve[column], minlength=total) + curve[-1]
         curve = np.append(np.bincount(column, value * through[row], minlength=size), through.sum())
     unfair = 4 * fairness * float(np.sum(weight * times**2 / np.minimum(spread[first], spread[second]) ** 2)) if len(first) else 0.0
-    step = 1.0 / (0.26 * np.linalg.norm(curve) / total + 2 * ridge + unfair)
+    step = 1.0 / (0.3 * np.linalg.norm(curve) / total + 2 * ridge + unfair)
     seen, momentum, ahead, ahead_bias = w, 1.0, w, bias
     for _ in range(rounds):
         margin = np.bincount(row, value * ahead[column], minlength=total) + ahead_bias
@@ -175,25 +177,51 @@ def descend(bags: list[dict[str, int]], labels: np.ndarray, pairs: Counter, fair
     return WordModel(bias, {word: float(seen[j] / spread[j]) for word, j in vocabulary.items() if seen[j]})
 
 
+def screened(sample: DataFrame, features: int = FEATURES) -> list[str]:
+    """The features of ``label, text`` with the largest likelihood ratio statistic between the labels, counted by Spark."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(bag_of(t.as_py() or "")) for t in batch.column(1)]
+            marks = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.string()), pa.array(marks)], ["feature", "toxic"])
+
+    sizes = sample.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    n1, n = float(sizes["toxic"] or 0), float(sizes["n"])
+    n0 = n - n1
+    counted = sample.mapInArrow(split, "feature string, toxic bigint").groupBy("feature").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("all"))
+    counted = counted.where(F.col("all") >= LEAST_DOCUMENTS).withColumn("b", F.col("all") - F.col("a"))
+    mean = (F.col("all") + 0.5) / (n + 1)
+
+    def part(k, size: float):
+        share = (F.col(k) + 0.5) / (size + 1)
+        return F.col(k) * F.log(share / mean) + (size - F.col(k)) * F.log((1 - share) / (1 - mean))
+
+    gain = part("a", n1) + part("b", n0)
+    return [row["feature"] for row in counted.orderBy(gain.desc_nulls_last(), "feature").limit(features).collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, fairness: float = 1.0) -> WordModel:
     """Fitted on at most ``rows`` labelled documents outside the held-out fold; their words alone come to the driver."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", F.col("toxic").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "label").limit(rows)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "label").limit(rows))  # at most ``rows`` ids and labels
+    texts = only(docs, "doc_id", "text").join(chosen, "doc_id").select("label", "text").dropDuplicates(["label", "text"])
+    sample = settled(texts, "toxicity-sample")
+    words = frozenset(screened(sample)) | _IDENTITY
     schema = "label int, words array<string>, counts array<int>, swaps array<struct<a:string,b:string,times:int,n:int>>"
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("times", pa.int32()), ("n", pa.int32())]))
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            counts = [bag_of(t) for t in texts]
+            counts = [{w: c for w, c in bag_of(t).items() if w in words} for t in texts]
             pairs = [[{"a": a, "b": b, "times": t, "n": n} for (a, b, t), n in swaps(text).items()] for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), pa.array(pairs, pair)],
                 ["label", "words", "counts", "swaps"],
             )
 
-    sample = F.broadcast(chosen)  # at most ``rows`` ids and labels
-    found = only(docs, "doc_id", "text").join(sample, "doc_id").select("label", "text").mapInArrow(bags, schema).toArrow().combine_chunks()
+    found = sample.mapInArrow(bags, schema).toArrow().combine_chunks()
     labels_found, pairs = np.array(found.column("label").to_pylist(), float), Counter()
     words, counts = found.column("words").to_pylist(), found.column("counts").to_pylist()
     for row in found.column("swaps").to_pylist():
