@@ -3,8 +3,6 @@
 # --- domains of the register ------------------------------------------------------------------
 STATUSES = ("application", "published", "registered", "opposed", "refused", "withdrawn", "expired", "surrendered")
 MARK_TYPES = ("word", "figurative", "combination", "shape", "sound", "pattern", "color")
-TEXT_DIM = 1024
-IMAGE_DIM = 768
 NICE_MIN, NICE_MAX = 1, 45
 
 # --- status wording on a page -> status; the first entry contained in the wording wins --------------
@@ -92,10 +90,10 @@ DEMO_BANDS = (0.85, 0.6)
 DESCRIPTIVE_TERMS = ("solar", "eco", "green", "smart", "digital", "cloud", "fast")
 SHORT_MARK_CHARS = 3
 RISK_LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+NOT_SEARCHED = "NOT SEARCHED"
 
 # --- search defaults ---------------------------------------------------------------------------------------
 SEARCH_LIMIT = 20
-WHERE_LIMIT = 50
 CLEARANCE_TOP = 10
 INDEX_FROM_ROWS = 10_000
 MAX_CELLS = 256

@@ -25,7 +25,10 @@ def contains_list(classes: Sequence[int], column: str = "nice_classes") -> Colum
 
 def name_like(text: str, literal: bool = False, column: str = "mark_name") -> Column:
     """Substring match, case counts. Percent and underscore are wildcards unless ``literal``."""
-    return F.contains(F.col(column), F.lit(text)) if literal else F.col(column).like(f"%{text}%")
+    if literal:
+        return F.contains(F.col(column), F.lit(text))
+    escaped = text.replace("\\", "\\\\")  # a backslash stands for itself
+    return F.col(column).like(f"%{escaped}%")
 
 
 def register_condition(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,6 @@ from ..functions.vectors import unit
 from ..schema import VECTOR_COLUMNS
 from .topk import SCAN_QUERIES, Cosine, CosineInCells, TopK, dense, few_rows, usable_vectors
 
-TRAINING_ROWS_PER_CELL = 256
 ROWS_PER_FILE = 1_000_000
 
 
@@ -29,18 +28,43 @@ def _usable(vector: Column, dim: int) -> Column:
     return F.size(vector) == dim
 
 
-def _query_side(queries: DataFrame, query_id: str, query_vector: str, scan_queries: int, *extra: str):
+def single_size(vectors: DataFrame, vector: str) -> int:
+    """The one size that all vectors have; 0 where there are none. Several sizes are an error: which of them is meant
+    is for the caller to say with ``dim``, as rows of the others would otherwise go missing unseen."""
+    found = vectors.where(F.size(vector) > 0).agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if found[0] != found[1]:
+        raise ValueError(f"{vector} holds vectors of {found[0]} to {found[1]} numbers: give the size as dim")
+    return found[0] or 0
+
+
+def why_unusable(vector: Column, dim: int) -> Column:
+    """Reason why a vector cannot be searched with, or null."""
+    numbers = F.transform(vector, lambda x: x.cast("double"))
+    endless = F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (
+        F.when(vector.isNull() | (F.size(vector) == 0), "no vector")
+        .when(F.size(vector) != dim, "vector of another size")
+        .when(endless, "vector without all its numbers")
+        .when(F.forall(numbers, lambda x: x == 0), "vector of length zero")
+    )
+
+
+def unusable_queries(
+    queries: DataFrame, dim: int, *, query_id: str = "query_id", query_vector: str = "query_vector"
+) -> DataFrame:
+    """Queries that no vector search answers, and the ``reason``."""
+    return queries.select(query_id, why_unusable(F.col(query_vector), dim).alias("reason")).where("reason IS NOT NULL")
+
+
+def _query_side(queries: DataFrame, query_id: str, query_vector: str, scan_queries: int, dim: int | None, *extra: str):
     """Queries under the names the kernels read, their vector size, and their rows if these are few."""
     named = queries.where(F.size(query_vector) > 0).select(
         F.col(query_id).alias("_query"), F.col(query_vector).alias("_query_vector"), *extra
     )
-    head = few_rows(named, F.size("_query_vector") * 8, scan_queries)
-    if head is None:
-        dim = named.select(F.size("_query_vector")).first()[0]
-    else:
-        dim = len(head.column("_query_vector")[0]) if head.num_rows else 0
-        head = usable_vectors(head, "_query_vector", dim)
-    return named.where(_usable(F.col("_query_vector"), dim)), dim, head
+    dim = single_size(named, "_query_vector") if dim is None else dim
+    asked = named.where(_usable(F.col("_query_vector"), dim))
+    head = few_rows(asked, F.size("_query_vector") * 8, scan_queries)
+    return asked, dim, None if head is None else usable_vectors(head, "_query_vector", dim)
 
 
 def nearest(
@@ -55,20 +79,19 @@ def nearest(
     keep: Sequence[str] | None = None,
     where: Column | None = None,
     prefilter: bool = True,
+    dim: int | None = None,
     score_name: str = "similarity_score",
     scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Top ``k`` rows of the register per query by cosine: query id, kept columns, score (4 digits), rank.
 
     ``where`` filters before the top k is taken, or with ``prefilter=False`` after it, which can leave fewer rows.
-    Rows whose vector is missing, of another size or of length zero take no part.
+    ``dim`` is the vector size searched for; left out, all queries must be of one size. Rows whose vector is missing,
+    of another size or of length zero take no part; ``unusable_queries`` names such queries.
     """
     keep = _kept(register, vector, keep)
-    asked, dim, head = _query_side(queries, query_id, query_vector, scan_queries)
-    after = where is not None and not prefilter
-    rows = register if where is None or after else register.where(where)
-    if after:
-        rows, keep = rows.withColumn("_passes", where), [*keep, "_passes"]
+    asked, dim, head = _query_side(queries, query_id, query_vector, scan_queries, dim)
+    rows, keep, after = _filtered(register, keep, where, prefilter)
     items = rows.where(_usable(F.col(vector), dim)).select(
         F.col(item_id).alias("_item"), F.col(vector).alias("_vector"), *keep
     )
@@ -76,6 +99,15 @@ def nearest(
     return found.where("_passes").drop("_passes") if after else found
 
 
+def _filtered(rows: DataFrame, keep: list[str], where: Column | None, prefilter: bool):
+    """The rows to search, the columns to keep, and whether rows are filtered by ``_passes`` afterwards."""
+    if where is None:
+        return rows, keep, False
+    if prefilter:
+        return rows.where(where), keep, False
+    return rows.withColumn("_passes", where), [*keep, "_passes"], True
+
+
 def _kept(register: DataFrame, vector: str, keep: Sequence[str] | None) -> list[str]:
     if keep is not None:
         return list(keep)
@@ -83,36 +115,36 @@ def _kept(register: DataFrame, vector: str, keep: Sequence[str] | None) -> list[
 
 
 def cells_for(rows: int) -> int:
-    """Number of cells the index uses: one per 100 rows, 256 at most."""
-    return max(1, min(MAX_CELLS, rows // ROWS_PER_CELL))
+    """Number of cells the index uses: about the square root of the rows, so cells and rows per cell grow alike."""
+    return max(1, math.isqrt(rows))
 
 
-def _common_size(register: DataFrame, vector: str) -> int:
-    """Vector size of most of the first rows that have one."""
-    sizes = Counter(r[0] for r in register.where(F.size(vector) > 0).select(F.size(vector)).take(1000))
-    if not sizes:
-        raise ValueError("the register holds no vectors")
-    return sizes.most_common(1)[0][0]
+def capped_cells(rows: int) -> int:
+    """The other usual number, an option of ``build_index``: one per 100 rows, 256 at most."""
+    return max(1, min(MAX_CELLS, rows // ROWS_PER_CELL))
 
 
 def train_cells(
-    register: DataFrame, *, vector: str = "text_vector", cells: int, rows: int, seed: int = 42
-) -> tuple[np.ndarray, list[float]]:
-    """Cell centres by cosine k-means, and the share of the rows each cell will get.
-
-    Training sees a bounded sample, and the shares are those of the sample. Every row is assigned and searched later.
-    """
-    wanted = cells * TRAINING_ROWS_PER_CELL
-    dim = _common_size(register, vector)
+    register: DataFrame,
+    *,
+    vector: str = "text_vector",
+    cells: int,
+    dim: int,
+    sample: float | None = None,
+    seed: int = 42,
+) -> np.ndarray:
+    """Cell centres by cosine k-means over all rows with a usable vector, or over the share ``sample`` of them."""
     points = register.where(_usable(F.col(vector), dim)).select(unit(F.col(vector)).alias("v"))
-    if rows > wanted:
-        points = points.sample(fraction=wanted / rows, seed=seed)
-    points = points.where("v IS NOT NULL").withColumn("features", array_to_vector("v")).persist()
+    if sample is not None:
+        points = points.sample(fraction=sample, seed=seed)
+    points = points.where("v IS NOT NULL").select(array_to_vector("v").alias("features"))
+    if cells == 1:  # k-means wants two; a single centre is the mean
+        mean = points.agg(Summarizer.mean(F.col("features"))).first()[0]
+        return np.zeros((1, dim)) if mean is None else mean.toArray()[None, :]
+    points = points.persist()
     model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(points)
-    centres = np.array(model.clusterCenters())
-    counts = {r["cell"]: r["count"] for r in assign_cells(points, centres, vector="v").groupBy("cell").count().collect()}
     points.unpersist()
-    return centres, [counts.get(cell, 0) / sum(counts.values()) for cell in range(len(centres))]
+    return np.array(model.clusterCenters())
 
 
 def assign_cells(register: DataFrame, centres: np.ndarray, *, vector: str = "text_vector") -> DataFrame:
@@ -146,19 +178,31 @@ class CellIndex:
 
 
 def build_index(
-    register: DataFrame, path: str, *, item_id: str = "id", vector: str = "text_vector", cells: int | None = None
+    register: DataFrame,
+    path: str,
+    *,
+    item_id: str = "id",
+    vector: str = "text_vector",
+    cells: int | None = None,
+    dim: int | None = None,
+    sample: float | None = None,
 ) -> CellIndex:
     """Trains cells, assigns every row and writes the register by cell, so a search reads only the cells it probes.
 
-    A cell is spread over files of about a million rows by a hash of the id, however large it is. Rows without a
-    vector, or with one of another size than most have, are left out.
+    A cell is spread over files of about a million rows by a hash of the id, however large it is. ``dim`` is the
+    vector size; left out, all vectors must be of one size. Rows without a vector of that size are left out.
     """
-    rows = register.count()
-    centres, shares = train_cells(register, vector=vector, cells=cells or cells_for(rows), rows=rows)
-    files = F.array(*[F.lit(math.ceil(share * rows / ROWS_PER_FILE) or 1) for share in shares])
-    part = F.pmod(F.xxhash64(item_id), F.get(files, F.col("cell")))
+    dim = single_size(register, vector) if dim is None else dim
+    if not dim:
+        raise ValueError("the register holds no vectors")
+    rows = register.where(_usable(F.col(vector), dim)).count()
+    centres = train_cells(register, vector=vector, cells=cells or cells_for(rows), dim=dim, sample=sample)
     assigned = assign_cells(register, centres, vector=vector).where(F.col("cell").isNotNull())
-    assigned.repartition("cell", part).write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/rows")
+    # one number per cell
+    counts = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}
+    per_cell = [math.ceil(counts.get(cell, 0) / ROWS_PER_FILE) or 1 for cell in range(len(centres))]
+    part = F.pmod(F.xxhash64(item_id), F.get(F.array(*map(F.lit, per_cell)), F.col("cell")))
+    assigned.repartition(sum(per_cell), "cell", part).write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/rows")
     spark = register.sparkSession
     numbered = pa.table({"cell": pa.array(range(len(centres)), pa.int32()), "centre": centres.tolist()})
     spark.createDataFrame(numbered).coalesce(1).write.parquet(f"{path}/centres")
@@ -170,9 +214,16 @@ def open_index(spark: SparkSession, path: str, *, vector: str = "text_vector") -
     return CellIndex(spark.read.parquet(f"{path}/rows"), np.array([r["centre"] for r in centres]), vector)
 
 
-def ensure_index(register: DataFrame, path: str, **options) -> CellIndex | None:
-    """An index from 10,000 rows on; below that a scan is good enough and there is none."""
-    return build_index(register, path, **options) if register.count() >= INDEX_FROM_ROWS else None
+def ensure_index(register: DataFrame, path: str, *, mode: str, **options) -> CellIndex | None:
+    """An index if ``mode`` is ``cells``; none, hence exact search, if it is ``exact``. The size of the register never
+    decides: ``index_advised`` says what it would suggest."""
+    if mode not in ("exact", "cells"):
+        raise ValueError("mode is exact or cells")
+    return build_index(register, path, **options) if mode == "cells" else None
+
+
+def index_advised(rows: int) -> bool:
+    return rows >= INDEX_FROM_ROWS
 
 
 def with_probes(queries: DataFrame, centres: np.ndarray, nprobe: int, *, query_vector: str = "query_vector") -> DataFrame:
@@ -197,16 +248,21 @@ def nearest_in_cells(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     keep: Sequence[str] | None = None,
+    where: Column | None = None,
+    prefilter: bool = True,
     score_name: str = "similarity_score",
     scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
-    """Top ``k`` among the ``nprobe`` cells nearest to each query, by exact cosine. All cells probed = ``nearest``."""
+    """Top ``k`` among the ``nprobe`` cells nearest to each query, by exact cosine. All cells probed = ``nearest``.
+
+    ``where`` filters the rows of the probed cells before the top k is taken, or after it, as in ``nearest``.
+    """
     keep = _kept(index.rows, index.vector, keep)
     dim = index.centres.shape[1]
     usable = queries.where(_usable(F.col(query_vector), dim))
     probing = with_probes(usable, index.centres, nprobe, query_vector=query_vector)
-    asked, _, head = _query_side(probing, query_id, query_vector, scan_queries, "_probes")
-    rows = index.rows
+    asked, _, head = _query_side(probing, query_id, query_vector, scan_queries, dim, "_probes")
+    rows, keep, after = _filtered(index.rows, keep, where, prefilter)
     if nprobe < len(index.centres):
         # at most one number per cell
         probed = asked.select(F.explode("_probes").alias("cell")).distinct().collect()
@@ -217,7 +273,8 @@ def nearest_in_cells(
     job = TopK(
         items, asked, ["_item", *keep], CosineInCells, k, query_id, score_name, cells=len(index.centres), head=head
     )
-    return job.run()
+    found = job.run()
+    return found.where("_passes").drop("_passes") if after else found
 
 
 def search_vectors(
@@ -227,6 +284,8 @@ def search_vectors(
     if index is None:
         return nearest(register, queries, k, **names)
     names.pop("vector", None)
+    if (dim := names.pop("dim", None)) not in (None, index.centres.shape[1]):
+        raise ValueError(f"the index holds vectors of {index.centres.shape[1]} numbers, not of {dim}")
     return nearest_in_cells(index, queries, k, nprobe, **names)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import RRF_K, SEARCH_LIMIT
@@ -13,6 +13,8 @@ from ..operators.lexical import bm25, reciprocal_rank_fusion
 from ..operators.nearest import CellIndex, nearest, search_vectors
 from ..schema import without_vectors
 
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+
 
 def hybrid_search(
     register: DataFrame,
@@ -26,19 +28,22 @@ def hybrid_search(
     *,
     vector: str = "text_vector",
     prefilter: bool = True,
+    index: CellIndex | None = None,
+    nprobe: int = 32,
 ) -> DataFrame:
     """Register rows without vectors.
 
     With a vector: the ``limit`` nearest by cosine that pass the filters, with ``similarity_score``; the text is then
-    not matched. Without: rows that pass the filters, the name containing the text if there is one.
+    not matched. With an ``index`` only the ``nprobe`` nearest of its cells are read. Without a vector: rows that pass the filters, the name containing the text if there is one.
     """
     filters = dict(nice_classes=nice_classes, status=status, country=country, filing_date_after=filing_date_after)
     if query_vector is not None and len(query_vector) > 0:
         query = register.sparkSession.createDataFrame(
             [(0, [float(x) for x in query_vector])], "query_id int, query_vector array<double>"
         )
-        found = nearest(
-            register, query, limit, vector=vector, where=register_condition(**filters), prefilter=prefilter
+        found = search_vectors(
+            register, query, limit, index=index, nprobe=nprobe, vector=vector,
+            where=register_condition(**filters), prefilter=prefilter,
         )
         return found.drop("query_id", "rank").orderBy(F.col("similarity_score").desc(), "id")
     condition = register_condition(query_text=query_text, **filters)
@@ -83,11 +88,23 @@ def response(rows: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     first = first_rows(without_vectors(rows), limit)
     packed = first.agg(F.sort_array(F.collect_list(F.struct(*first.columns))).alias("results"))
     return packed.select(
-        F.to_json(F.struct(F.lit(True).alias("success"), F.size("results").alias("count"), "results")).alias("json")
+        F.to_json(
+            F.struct(F.lit(True).alias("success"), F.size("results").alias("count"), "results"), _KEEP_NULLS
+        ).alias("json")
+    )
+
+
+def failure(spark: SparkSession, message: str) -> DataFrame:
+    """The JSON text a caller gets in place of results: not successful, the error, no results."""
+    said = spark.createDataFrame([(message,)], "error string")
+    return said.select(
+        F.to_json(
+            F.struct(F.lit(False).alias("success"), "error", F.lit(0).alias("count"), F.array().alias("results"))
+        ).alias("json")
     )
 
 
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
     """One JSON object per row, vectors left out, letters kept as they are."""
     plain = without_vectors(rows)
-    return plain.select(F.to_json(F.struct(*plain.columns)).alias(name))
+    return plain.select(F.to_json(F.struct(*plain.columns), _KEEP_NULLS).alias(name))

@@ -101,7 +101,7 @@ def test_no_queries_and_no_rows(spark, tables):
 
 def test_cells(spark, tables, marks, asked, monkeypatch):
     register, queries = tables
-    index = nearest.build_index(register, fresh_path(spark, "cells"), cells=6)
+    index = nearest.build_index(register, fresh_path(spark, "cells"), cells=6, dim=8)
     # the vectors of zeros and of no numbers have a cell, too, but never a score
     assert index.rows.count() == len(marks[0]) + 2
     everything = nearest.nearest_in_cells(index, queries, 10, len(index.centres), keep=["id"])
@@ -118,15 +118,60 @@ def test_cells(spark, tables, marks, asked, monkeypatch):
 
 def test_cells_are_pruned(spark, tables):
     register, queries = tables
-    index = nearest.build_index(register, fresh_path(spark, "cells"), cells=6)
+    index = nearest.build_index(register, fresh_path(spark, "cells"), cells=6, dim=8)
     found = nearest.nearest_in_cells(index, queries.where("query_id = 0"), 3, 1, keep=["id"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan or "cell#" in plan.split("PartitionFilters:")[1][:60]
 
 
-def test_index_only_for_large_registers(spark, tables):
-    assert nearest.ensure_index(tables[0], fresh_path(spark, "cells")) is None
-    assert [nearest.cells_for(n) for n in (50, 10_000, 1_000_000)] == [1, 100, 256]
+def test_index_only_when_asked_for(spark, tables):
+    assert nearest.ensure_index(tables[0], fresh_path(spark, "cells"), mode="exact") is None
+    with pytest.raises(ValueError):
+        nearest.ensure_index(tables[0], fresh_path(spark, "cells"), mode="auto")
+    assert [nearest.cells_for(n) for n in (1, 50, 10_000, 1_000_000)] == [1, 7, 100, 1000]
+    assert [nearest.capped_cells(n) for n in (50, 10_000, 1_000_000)] == [1, 100, 256]
+    assert [nearest.index_advised(n) for n in (9_999, 10_000)] == [False, True]
+
+
+def test_index_of_one_cell(spark, tables, marks, asked):
+    register, queries = tables
+    index = nearest.build_index(register, fresh_path(spark, "cells"), cells=1, dim=8)
+    assert len(index.centres) == 1
+    assert collected(nearest.nearest_in_cells(index, queries, 10, 1, keep=["id"])) == brute(marks[0], asked, 10)
+
+
+def test_filter_in_cells(spark, tables, marks, asked):
+    register, queries = tables
+    index = nearest.build_index(register, fresh_path(spark, "cells"), cells=6, dim=8)
+    for prefilter in (True, False):
+        options = dict(keep=["id"], where=F.col("label") == 2, prefilter=prefilter)
+        through = nearest.search_vectors(register, queries, 10, index=index, nprobe=6, **options)
+        assert collected(through) == collected(nearest.nearest(register, queries, 10, **options))
+
+
+def test_sizes_are_never_guessed(spark):
+    register = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, text_vector array<float>")
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0])],
+        "query_id int, query_vector array<double>",
+    )
+    with pytest.raises(ValueError):
+        nearest.nearest(register, queries, 1)
+    for scan in (100, 1):
+        found = nearest.nearest(register, queries, 1, dim=2, scan_queries=scan)
+        assert collected(found) == {2: [("a", 1.0)], 3: [("b", 1.0)]}
+    reasons = {r["query_id"]: r["reason"] for r in nearest.unusable_queries(queries, 2).collect()}
+    assert reasons == {
+        1: "vector of another size", 4: "no vector", 5: "vector of length zero", 6: "vector without all its numbers",
+    }
+
+
+def test_index_keeps_rows_behind_a_run_of_other_sizes(spark):
+    rows = [(f"x{i:04d}", [1.0]) for i in range(1000)] + [(f"y{i}", [1.0, float(i)]) for i in range(50)]
+    register = spark.createDataFrame(rows, "id string, text_vector array<float>").coalesce(1)
+    with pytest.raises(ValueError):
+        nearest.build_index(register, fresh_path(spark, "cells"))
+    assert nearest.build_index(register, fresh_path(spark, "cells"), dim=2).rows.count() == 50
 
 
 def test_hybrid_search_needs_no_text_with_a_vector(tables, marks, asked):

@@ -93,8 +93,13 @@ def bm25(docs: str, queries: str, k: int, prefix: str = "", item: str = "id") ->
 
 TEXT_QUERIES = "queries AS (SELECT item_id AS qid, text AS qtext FROM benchmark)"
 
-REPORT = f"""{REGISTER}, {VECTOR_REGISTER}, {CANDIDATES},
-{ranked('vreg', 'cand', 'id', 'id, application_number, mark_name, status, applicant_name, applicant_country, candidate_name', 10, 'v')},
+# by query_id: no vector, one of another size, one of zeros
+UNSEARCHED = """CASE query_id % 7 WHEN 3 THEN 'no vector' WHEN 4 THEN 'vector of another size' WHEN 5 THEN 'vector of length zero' END"""
+
+
+def report(asked: str, searched: str) -> str:
+    return f"""{REGISTER}, {VECTOR_REGISTER}, {asked},
+{ranked('vreg', 'cand', 'id', 'id, application_number, mark_name, status, applicant_name, applicant_country, candidate_name', 10, 'v', searched)},
 keyed AS (SELECT *, {sound_key('candidate_name')} AS a, {sound_key('mark_name')} AS b FROM hits),
 compared AS (SELECT *, {sound('a', 'b')} AS snd, {visual('a', 'b')} AS vis FROM keyed),
 full_report AS (
@@ -106,6 +111,11 @@ full_report AS (
 report AS (SELECT * FROM full_report WHERE mark_name <> candidate_name)"""
 
 
+_ASKED = CANDIDATES.replace("embedding AS qv", "embedding AS qv, NULL AS not_searched")
+_BARE = CANDIDATES.replace("embedding AS qv", f"embedding AS qv, {UNSEARCHED.replace('query_id', 'item_id')} AS not_searched")
+REPORT, REPORT_BARE = report(_ASKED, "TRUE"), report(_BARE, "not_searched IS NULL")
+
+
 def identical(source: str) -> str:
     return f"""same AS (
   SELECT query_id, candidate_name,
@@ -124,6 +134,20 @@ def grounds(source: str, key: str, terms: str) -> str:
 UNION ALL SELECT {key}, candidate_name, '7(1)(b)', '' FROM {source} WHERE length(candidate_name) <= 3"""
 
 
+SUMMARY = f"""{identical('register')},
+pairs AS (
+  SELECT query_id, count(*) AS similar_count, count(*) FILTER (risk = 'HIGH') AS high_count, max(overall) AS top_overall,
+    arg_max(mark_name, overall * 100000000 - rank) AS top_conflict,
+    max(CASE risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) AS level FROM report GROUP BY query_id)
+SELECT query_id, same.candidate_name, CASE WHEN not_searched IS NULL THEN coalesce(similar_count, 0) END AS similar_count,
+  CASE WHEN not_searched IS NULL THEN coalesce(high_count, 0) END AS high_count, top_conflict, top_overall,
+  identical_count, clashing_classes, len(list_filter({_TERMS}, lambda t: contains(lower(same.candidate_name), t))) > 0 AS descriptive,
+  length(same.candidate_name) <= 3 AS short_mark, not_searched,
+  CASE WHEN clashing_classes > 0 THEN 'CRITICAL' WHEN not_searched IS NOT NULL THEN 'NOT SEARCHED'
+    ELSE ['LOW', 'MEDIUM', 'HIGH'][coalesce(level, 0) + 1] END AS risk_level
+FROM same JOIN cand USING (query_id) LEFT JOIN pairs USING (query_id)"""
+
+
 def status_of(text: str) -> str:
     from emblema.constants import STATUS_WORDING
 
@@ -291,6 +315,10 @@ m AS (SELECT i, avg(x) AS m FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS
 q AS (SELECT list(m ORDER BY i) AS qv FROM m)
 SELECT id, application_number, mark_name, status, round({COSINE.format(a='v', b='qv')}, 4) AS similarity_score
 FROM vreg, q WHERE status = 'registered' AND filing_date >= '2018-02-01' ORDER BY 5 DESC, id LIMIT 20""",
+    "knn_mixed_sizes": f"""WITH {CANDIDATES}, asked AS (SELECT * FROM cand WHERE query_id % 7 NOT IN (3, 4, 5)),
+{ranked('embeddings', 'asked', 'vec_id', 'vec_id', 5)}
+SELECT query_id, vec_id, s AS similarity_score, rank, NULL AS reason FROM hits
+UNION ALL SELECT query_id, NULL, NULL, NULL, {UNSEARCHED} FROM cand WHERE query_id % 7 IN (3, 4, 5)""",
     "image_search": f"""WITH {REGISTER}, {VECTOR_REGISTER}, {ASKED}, {ranked('vreg', 'asked', 'id', 'id, mark_name', 5, 'v')}
 SELECT query_id, id, mark_name, s AS similarity_score, rank FROM hits""",
     "vector_norms": """SELECT vec_id, round(sqrt(d), 4) AS norm, round(d / sqrt(d), 4) AS unit_dot FROM (
@@ -300,8 +328,8 @@ SELECT term, count(*) AS texts, 0::BIGINT AS total_words FROM (SELECT unnest(lis
 UNION ALL SELECT '', count(*), sum(len(w))::BIGINT FROM tok""",
     "bm25_search": f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {TEXT_QUERIES}, {bm25('docs', 'queries', 10)}
 SELECT qid AS query_id, id AS doc_id, score, rank FROM hits""",
-    "rrf_fusion": f"""WITH {ASKED}, joined AS (SELECT * FROM documents JOIN embeddings ON vec_id = doc_id),
-{ranked('joined', 'asked', 'doc_id', 'doc_id', 50)},
+    "rrf_fusion": f"""WITH {ASKED}, joined AS (SELECT * FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+{ranked('joined', 'asked', 'doc_id', 'doc_id', 50, where='embedding IS NOT NULL')},
 docs AS (SELECT doc_id AS id, text FROM joined), queries AS (SELECT query_id AS qid, query_text AS qtext FROM asked),
 {bm25('docs', 'queries', 50, 'l')},
 votes AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS v FROM hits UNION ALL SELECT qid, id, 1.0::DOUBLE / (60 + rank) FROM lhits),
@@ -328,16 +356,8 @@ FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS s FROM part)""",
     "clearance_report": f"WITH {REPORT} SELECT * FROM report",
     "clearance_report_identical": f"WITH {REPORT} SELECT * FROM full_report",
     "clearance_high_risk": f"WITH {REPORT} SELECT * FROM report WHERE risk = 'HIGH'",
-    "clearance_summary": f"""WITH {REPORT}, {identical('vreg')},
-pairs AS (
-  SELECT query_id, count(*) AS similar_count, count(*) FILTER (risk = 'HIGH') AS high_count, max(overall) AS top_overall,
-    arg_max(mark_name, overall * 100000000 - rank) AS top_conflict,
-    max(CASE risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) AS level FROM report GROUP BY query_id)
-SELECT query_id, candidate_name, coalesce(similar_count, 0) AS similar_count, coalesce(high_count, 0) AS high_count, top_conflict, top_overall,
-  identical_count, clashing_classes, len(list_filter({_TERMS}, lambda t: contains(lower(candidate_name), t))) > 0 AS descriptive,
-  length(candidate_name) <= 3 AS short_mark,
-  CASE WHEN clashing_classes > 0 THEN 'CRITICAL' ELSE ['LOW', 'MEDIUM', 'HIGH'][coalesce(level, 0) + 1] END AS risk_level
-FROM same LEFT JOIN pairs USING (query_id)""",
+    "clearance_summary": f"""WITH {REPORT}, {SUMMARY}""",
+    "clearance_summary_unsearched": f"""WITH {REPORT_BARE}, {SUMMARY}""",
     "identical_conflicts": f"WITH {REGISTER}, {CANDIDATES}, {identical('register')} SELECT * FROM same",
     "register_stats": f"WITH {REGISTER} SELECT status, count(*) AS count, (SELECT count(*) FROM register) AS total_records FROM register GROUP BY status",
     "status_distribution": f"WITH {REGISTER} SELECT status, count(*) AS count FROM register GROUP BY status",
@@ -356,6 +376,11 @@ FROM u LEFT JOIN parsed ON parsed.raw_url = url""",
 SELECT id, application_number, mark_name, status FROM register WHERE application_number NOT IN (SELECT application_number FROM changes)
 UNION ALL SELECT id, application_number, mark_name, status FROM (
   SELECT *, row_number() OVER (PARTITION BY application_number ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS n FROM changes) WHERE n = 1""",
+    "upsert_null_keys": f"""WITH {REGISTER}, {CHANGES}, kept AS (SELECT * FROM changes WHERE l_orderkey % 5 <> 0)
+SELECT id, application_number, mark_name, status, TRUE AS placed FROM register WHERE application_number NOT IN (SELECT application_number FROM kept)
+UNION ALL SELECT id, application_number, mark_name, status, TRUE FROM (
+  SELECT *, row_number() OVER (PARTITION BY application_number ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS n FROM kept) WHERE n = 1
+UNION ALL SELECT id, NULL, mark_name, status, FALSE FROM changes WHERE l_orderkey % 5 = 0""",
     "delete_by_key": f"""WITH {REGISTER}, {CHANGES} SELECT id, application_number, mark_name, status FROM register
 WHERE application_number NOT IN (SELECT application_number FROM changes WHERE status = 'refused' AND l_linenumber = 1)""",
     "delete_where": f"WITH {REGISTER} SELECT id, application_number, mark_name, status FROM register WHERE status NOT IN ('expired', 'withdrawn')",
@@ -374,7 +399,7 @@ FROM items LEFT JOIN register USING (application_number)""",
 SELECT query_id, candidate_name, rank, id, mark_name, semantic, sound, round(o, 4) AS overall,
 CASE WHEN o > 0.80::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM alerts WHERE o > 0.65::DOUBLE""",
     "search_json": f"""WITH {REGISTER} SELECT to_json(struct_pack(id := id, mark_name := mark_name, nice_classes := nice_classes,
-filing_date := filing_date, status := status))::VARCHAR AS json FROM register WHERE list_has_any(nice_classes, [9, 42])""",
+filing_date := filing_date, status := status, note := nullif(status, 'registered')))::VARCHAR AS json FROM register WHERE list_has_any(nice_classes, [9, 42])""",
     "search_response": f"""WITH {REGISTER}, first AS (
   SELECT struct_pack(application_number := application_number, id := id, mark_name := mark_name, nice_classes := nice_classes) AS r
   FROM register WHERE status = 'opposed' ORDER BY application_number, id LIMIT 20)
@@ -428,3 +453,5 @@ SELECT doc_id, dim, round((n / l)::FLOAT::DOUBLE, 4) AS x FROM n JOIN l USING (d
     "embed_with_cache": "SELECT DISTINCT substr(sha256('passage:' || p_name), 1, 16) AS key, p_name AS text, 64::BIGINT AS size FROM part",
     "watch_stream": f"""WITH {items()} SELECT application_number, mark_name, 'published' AS status, 'euipo_bulletin' AS source FROM items""",
 }
+
+ORACLE["hybrid_search_in_cells"] = ORACLE["hybrid_search_vector_and_filter"]

@@ -97,7 +97,7 @@ def lookup_application_number(spark, sf_dir):
 @query
 def search_json(spark, sf_dir):
     rows = filters.filter_register(views.register(spark, sf_dir), any_classes=[9, 42])
-    return search.as_json(rows.select("id", "mark_name", "nice_classes", "filing_date", "status"))
+    return search.as_json(rows.select("id", "mark_name", "nice_classes", "filing_date", "status", F.expr("nullif(status, 'registered')").alias("note")))
 
 
 @query
@@ -152,6 +152,32 @@ def hybrid_search_vector_and_filter(spark, sf_dir):
     return found.select("id", "application_number", "mark_name", "status", "similarity_score")
 
 
+@query
+def hybrid_search_in_cells(spark, sf_dir):
+    """The search before, through the cell index with all cells probed."""
+    marks = views.vector_register(spark, sf_dir)
+    index = nearest.build_index(marks, fresh_path(spark, "cells"))
+    found = search.hybrid_search(
+        marks,
+        "ignored",
+        _mean_vector(spark, sf_dir),
+        status="registered",
+        filing_date_after="2018-02-01",
+        index=index,
+        nprobe=len(index.centres),
+    )
+    return found.select("id", "application_number", "mark_name", "status", "similarity_score")
+
+
+@query
+def knn_mixed_sizes(spark, sf_dir):
+    """Queries of several vector sizes: those of the size asked for are answered, the others named with a reason."""
+    asked = views.bare_candidates(spark, sf_dir)
+    found = nearest.nearest(views.table(spark, sf_dir, "embeddings"), asked, 5, dim=64, **_VECTORS)
+    answered = found.select("query_id", "vec_id", "similarity_score", "rank", F.lit(None).cast("string").alias("reason"))
+    return answered.unionByName(nearest.unusable_queries(asked, 64), allowMissingColumns=True)
+
+
 @query
 def image_search(spark, sf_dir):
     marks = views.vector_register(spark, sf_dir).withColumnRenamed("text_vector", "image_vector")
@@ -206,7 +232,7 @@ def bm25_search(spark, sf_dir):
 @query
 def rrf_fusion(spark, sf_dir):
     docs, vectors = views.text_table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "embeddings")
-    both = docs.join(vectors, docs.doc_id == vectors.vec_id)
+    both = docs.join(vectors, docs.doc_id == vectors.vec_id, "left")
     return search.fused_search(
         both, views.vector_queries(spark, sf_dir), 10, depth=50, item_id="doc_id", text="text", vector="embedding"
     )
@@ -283,10 +309,18 @@ def clearance_report_identical(spark, sf_dir):
 @query
 def clearance_summary(spark, sf_dir):
     return clearance.clearance_summary(
-        _report(spark, sf_dir), views.vector_register(spark, sf_dir), views.candidates(spark, sf_dir)
+        _report(spark, sf_dir), views.register(spark, sf_dir), views.candidates(spark, sf_dir)
     )
 
 
+@query
+def clearance_summary_unsearched(spark, sf_dir):
+    """Candidates without a usable vector among the others: never LOW, as nothing was compared with them."""
+    asked, dim = views.bare_candidates(spark, sf_dir), 64
+    report = clearance.clearance_report(views.vector_register(spark, sf_dir), asked, dim=dim)
+    return clearance.clearance_summary(report, views.register(spark, sf_dir), asked, dim=dim)
+
+
 @query
 def clearance_high_risk(spark, sf_dir):
     return clearance.high_risk(_report(spark, sf_dir)).drop("nice_classes")
@@ -395,6 +429,16 @@ def upsert_register(spark, sf_dir):
     return upsert.upsert(base, _changes(spark, sf_dir), order=_CHANGE_ORDER)
 
 
+@query
+def upsert_null_keys(spark, sf_dir):
+    """Changes of which every fifth has no number: those are handed back, each of them."""
+    base = views.register(spark, sf_dir).select("id", "application_number", "mark_name", "status")
+    number = F.when(F.col("l_orderkey") % 5 != 0, F.col("application_number"))
+    changes = _changes(spark, sf_dir).withColumn("application_number", number)
+    placed = upsert.upsert(base, changes, order=_CHANGE_ORDER).withColumn("placed", F.lit(True))
+    return placed.unionByName(upsert.without_key(changes).select(*base.columns, F.lit(False).alias("placed")))
+
+
 @query
 def delete_by_key(spark, sf_dir):
     base = views.register(spark, sf_dir).select("id", "application_number", "mark_name", "status")

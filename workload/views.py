@@ -126,10 +126,10 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Register rows that have a vector."""
+    """Register rows with their vector; most have none."""
     vectors = table(spark, sf_dir, "embeddings")
     marks = register(spark, sf_dir)
-    return marks.join(vectors, vectors.vec_id == marks.p_partkey).withColumnRenamed("embedding", "text_vector").drop(
+    return marks.join(vectors, vectors.vec_id == marks.p_partkey, "left").withColumnRenamed("embedding", "text_vector").drop(
         "p_partkey", "vec_id"
     )
 
@@ -150,6 +150,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates, of which some lack a vector, some have one of another size and some one of zeros."""
+    vector = F.col("query_vector")
+    form = F.col("query_id") % 7
+    changed = F.when(form == 3, None).when(form == 4, F.slice(vector, 1, 3)).when(form == 5, F.transform(vector, lambda x: x * 0))
+    return candidates(spark, sf_dir).withColumn("query_vector", F.when(form.isin(3, 4, 5), changed).otherwise(vector))
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
