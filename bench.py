@@ -32,6 +32,9 @@ HEADLINE = (
     "page_stitch",
     "legal_retrieval_hybrid",
     "embed_hashed",
+    "bulletin_alerts",
+    "ingest_urls",
+    "nice_recommend",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

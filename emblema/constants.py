@@ -21,30 +21,34 @@ STATUS_WORDING = (
 
 # --- labelled fields of a detail page: label alternatives and the form of the value -----------------
 DETAIL_FIELDS = {
-    "mark_name": r"(?:Mark name|Trade mark|Mark):\s*(.+)",
-    "application_number": r"(?:Application number|App\.?\s*No\.?):\s*(\d+)",
-    "registration_number": r"(?:Registration number|Reg\.?\s*No\.?):\s*(\d+)",
-    "filing_date": r"Filing date:\s*(\d{2}/\d{2}/\d{4})",
-    "registration_date": r"Registration date:\s*(\d{2}/\d{2}/\d{4})",
-    "nice_classes": r"Nice classes?:?\s*(.+)",
-    "applicant_name": r"(?:Applicant|Holder|Proprietor):\s*(.+)",
-    "applicant_country": r"(?:Country|Origin):\s*([A-Z]{2})",
-    "status": r"Status:\s*(.+)",
-    "goods_services": r"(?:Goods|Services|List of goods):\s*(.+)",
+    "mark_name": r"(?:Mark name|Trade mark|Mark):[^\S\n]*(\S.*)",
+    "application_number": r"(?:Application number|App\.?\s*No\.?):[^\S\n]*(\d+)",
+    "registration_number": r"(?:Registration number|Reg\.?\s*No\.?):[^\S\n]*(\d+)",
+    "filing_date": r"Filing date:[^\S\n]*(\d{2}/\d{2}/\d{4})",
+    "registration_date": r"Registration date:[^\S\n]*(\d{2}/\d{2}/\d{4})",
+    "nice_classes": r"Nice classes?:?[^\S\n]*(\S.*)",
+    "applicant_name": r"(?:Applicant|Holder|Proprietor):[^\S\n]*(\S.*)",
+    "applicant_country": r"(?:Country|Origin):[^\S\n]*([A-Z]{2})",
+    "status": r"Status:[^\S\n]*(\S.*)",
+    "goods_services": r"(?:Goods|Services|List of goods):[^\S\n]*(\S.*)",
 }
 
 # --- labelled fields of an office-action letter ----------------------------------------------------
 LETTER_FIELDS = {
-    "application_number": r"Application Number:\s*(\d+)",
-    "mark_name": r"Trade Mark:\s*(.+)",
-    "applicant_name": r"Applicant:\s*(.+)",
-    "filing_date": r"Filing Date:\s*(\d{2}/\d{2}/\d{4})",
-    "response_deadline": r"Deadline for Response:\s*(\d{2}/\d{2}/\d{4})",
+    "application_number": r"Application Number:[^\S\n]*(\d+)",
+    "mark_name": r"Trade Mark:[^\S\n]*(\S.*)",
+    "applicant_name": r"Applicant:[^\S\n]*(\S.*)",
+    "filing_date": r"Filing Date:[^\S\n]*(\d{2}/\d{2}/\d{4})",
+    "response_deadline": r"Deadline for Response:[^\S\n]*(\d{2}/\d{2}/\d{4})",
 }
 
 # --- references in legal text ----------------------------------------------------------------------
-OBJECTION_PATTERN = r"(?:Article|Art\.)\s*([78]\(\d+\)(?:\([a-z]\))?)"
-ARTICLE_PATTERN = r"(?:Articles?|Art\.)\s*(\d+)"
+# one reference, such as 5, 94(1) or 7 (1) (b); a word before it, and after the plural more of them
+REFERENCE = r"\d+(?:\s*\(\d+\))?(?:\s*\([a-z]\))?"
+CITING_PATTERN = (
+    rf"\bArticles\s*{REFERENCE}(?:\s*(?:,\s*and|,\s*or|,|and|or|&)\s*{REFERENCE})*|\b(?:Article|Art\.?)\s*{REFERENCE}"
+)
+OBJECTION_PATTERN = r"^[78]\(\d+\)"
 GUIDELINE_PATTERN = r"(Part\s+[A-Z],\s*Section\s+\d+)"
 DECISION_PATTERN = r"\b(R\s\d{1,4}/\d{4}-\d)\b"
 HEADING_STARTS = ("Article", "Art.", "Section")

@@ -4,12 +4,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import (
+    CITING_PATTERN,
     DECISION_PATTERN,
     GUIDELINE_PATTERN,
     HEADING_MAX_CHARS,
     HEADING_STARTS,
     OBJECTION_PATTERN,
-    ARTICLE_PATTERN,
+    REFERENCE,
 )
 from .text import strip
 
@@ -45,15 +46,22 @@ def format_letter(text: Column) -> Column:
     return F.array_join(F.transform(lines, format_line), "\n")
 
 
+def article_references(text: Column) -> Column:
+    """Distinct articles referred to, such as ``7(1)(b)`` or ``94(1)``, without blanks, in order of first mention."""
+    mentions = F.regexp_extract_all(text, F.lit(CITING_PATTERN), 0)
+    each = F.flatten(F.transform(mentions, lambda m: F.regexp_extract_all(m, F.lit(REFERENCE), 0)))
+    return F.array_distinct(F.transform(each, lambda r: F.regexp_replace(r, r"\s", "")))
+
+
 def objection_codes(text: Column) -> Column:
     """Distinct objections under Articles 7 and 8, such as ``7(1)(b)``, in order of first mention."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(OBJECTION_PATTERN), 1))
+    return F.filter(article_references(text), lambda r: r.rlike(OBJECTION_PATTERN))
 
 
 def article_numbers(text: Column) -> Column:
     return F.array_sort(
         F.array_distinct(
-            F.transform(F.regexp_extract_all(text, F.lit(ARTICLE_PATTERN), 1), lambda n: n.try_cast("int"))
+            F.transform(article_references(text), lambda r: F.regexp_extract(r, r"^\d+", 0).try_cast("int"))
         )
     )
 
@@ -67,6 +75,6 @@ def decisions(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """Distinct cited objections, guideline sections and appeal decisions, sorted."""
-    articles = F.transform(objection_codes(text), lambda code: F.concat(F.lit("Article "), code))
+    """Distinct cited articles, guideline sections and appeal decisions, sorted."""
+    articles = F.transform(article_references(text), lambda code: F.concat(F.lit("Article "), code))
     return F.array_sort(F.array_distinct(F.concat(articles, guideline_sections(text), decisions(text))))

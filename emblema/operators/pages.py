@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_text
 
-PAGES_PER_PART = 1000
-
 
 def page_block(page_no: Column, text: Column) -> Column:
     return F.concat(F.lit("## Page "), page_no.cast("string"), F.lit("\n\n"), text)
@@ -17,17 +15,17 @@ def stitch_pages(
     doc_id: str = "doc_id",
     page_no: str = "page_no",
     text: str = "text",
-    pages_per_part: int = PAGES_PER_PART,
+    pages_per_part: int | None = None,
 ) -> DataFrame:
     """One text per document: ``## Page N``, blank line, text; blank pages left out, numbers kept.
 
-    A document longer than ``pages_per_part`` pages comes as several rows, ``part`` 0, 1, ...: no row and no group
-    holds more than that many page numbers. Parts joined by a blank line are the whole text.
+    With ``pages_per_part`` a document comes as several rows, ``part`` 0, 1, ...: no row and no group holds more than
+    that many page numbers. Parts joined by a blank line are the whole text. Use it where a text outgrows one row.
     """
     page = F.col(page_no)
     blocks = pages.where(has_text(F.col(text))).select(
         F.col(doc_id),
-        F.floor(page / pages_per_part).cast("bigint").alias("part"),
+        (F.lit(0) if pages_per_part is None else F.floor(page / pages_per_part)).cast("bigint").alias("part"),
         page.alias("page"),
         page_block(page, F.col(text)).alias("block"),
     )

@@ -12,18 +12,18 @@ from emblema.functions import keys, names, text, vectors
 from emblema.functions.numbers import rounded
 
 NAMES = {
-    "SolarFlow": (0.7778, 0.0),
-    "SolFlux": (0.3333, 0.0),
-    "SolarFlex": (0.8889, 0.1111),
-    "SunnyEnergy": (0.0909, 0.1818),
-    "VoltPower": (0.2222, 0.5556),
-    "EcoVolt": (0.0, 0.1111),
-    "FluxEnergy": (0.0, 0.0),
-    "PhotoSol": (0.0, 0.1111),
-    "ZephyrWind": (0.0, 0.1),
-    "AtomPower": (0.0, 1.0),
-    "TerraGreen": (0.0, 0.1),
-    "SoleilFlux": (0.3, 0.0),
+    "MarisTone": (0.4444, 0.0),
+    "MarLux": (0.375, 0.0),
+    "MarineLux": (0.5556, 0.0),
+    "BrookLine": (0.1111, 0.0),
+    "HelmCraft": (0.0, 0.7778),
+    "TideMark": (0.0, 0.0),
+    "LuxHarbour": (0.0, 0.1),
+    "OpalMar": (0.0, 0.0),
+    "QuartzSea": (0.0, 0.0),
+    "HelmCrest": (0.0, 1.0),
+    "IronVale": (0.0, 0.0),
+    "MarelleLux": (0.4, 0.1),
 }
 
 
@@ -31,8 +31,8 @@ def test_sound_similarity_of_sample_names(spark):
     df = spark.createDataFrame([(n,) for n in NAMES], ["n"])
     got = df.select(
         "n",
-        rounded(names.name_similarity(F.lit("SolarFlux"), F.col("n"))),
-        rounded(names.name_similarity(F.lit("AtomPower"), F.col("n"))),
+        rounded(names.name_similarity(F.lit("MarinLux"), F.col("n"))),
+        rounded(names.name_similarity(F.lit("HelmCrest"), F.col("n"))),
     ).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == NAMES
 
@@ -74,7 +74,7 @@ def test_bands(spark):
 
 def test_name_checks(evaluate):
     assert evaluate({"n": "SolarEco"}, names.descriptive_terms(F.col("n"))) == ["solar", "eco"]
-    assert evaluate({"n": "AtomPower"}, names.descriptive_terms(F.col("n"))) == []
+    assert evaluate({"n": "HelmCrest"}, names.descriptive_terms(F.col("n"))) == []
     assert evaluate({"n": "Abc"}, names.is_short(F.col("n"))) is True
 
 

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from emblema.constants import DESCRIPTIVE_TERMS, OBJECTIONS, TRANSLITERATION
-
 from . import views
 
+# Written out here, not taken from the library, so that an error in its lists shows.
+TRANSLITERATION = dict(zip("äöüßéèêëàâçñ", "ae oe ue ss e e e e a a c n".split(), strict=True))
+DESCRIPTIVE_TERMS = "solar eco green smart digital cloud fast".split()
+STATUS_WORDING = (
+    "registered application published opposed refused withdrawn expired surrendered registration=registered filed=application"
+).split()
+LABELS = {
+    "7(1)(b)": "Devoid of distinctive character", "7(1)(c)": "Descriptive sign", "7(1)(d)": "Customary in the trade",
+    "7(1)(g)": "Deceptive sign", "8(1)(b)": "Likelihood of confusion",
+    "8(4)": "Earlier sign used in the course of trade", "8(5)": "Earlier mark with a reputation",
+}
+
 _CLASSES = "list_sort(list_distinct([CAST(p_size % 45 + 1 AS INT), CAST(p_partkey % 45 + 1 AS INT)]))"
 
 REGISTER = f"""register AS (
@@ -29,7 +39,7 @@ wm AS (
 
 def transliterated(name: str) -> str:
     out = f"lower({name})"
-    for letter, plain in TRANSLITERATION:
+    for letter, plain in TRANSLITERATION.items():
         out = f"replace({out}, '{letter}', '{plain}')"
     return out
 
@@ -149,27 +159,23 @@ FROM same JOIN cand USING (query_id) LEFT JOIN pairs USING (query_id)"""
 
 
 def status_of(text: str) -> str:
-    from emblema.constants import STATUS_WORDING
-
-    cases = " ".join(f"WHEN contains(lower({text}), '{w}') THEN '{s}'" for w, s in STATUS_WORDING)
+    pairs = (w.split("=") for w in STATUS_WORDING)
+    cases = " ".join(f"WHEN contains(lower({text}), '{w[0]}') THEN '{w[-1]}'" for w in pairs)
     return f"CASE {cases} ELSE 'application' END"
 
 
 _NAME = "CASE WHEN p_size = 3 THEN '' ELSE trim(p_name) END"
-# a nameless page's label is followed by blank lines only, so the value is the next line's text
-_NEXT_LINE = f"CASE WHEN p_size > 25 THEN 'Application number: ' ELSE 'App. No.: ' END || {views.NUMBER}"
-
 PARSED = f"""parsed AS (
   SELECT CASE WHEN p_size = 7 THEN sha256('euipo:') ELSE sha256('euipo:' || {views.NUMBER}) END AS id,
     CASE WHEN p_size = 7 THEN '' ELSE {views.NUMBER} END AS application_number,
     CASE WHEN p_size > 40 THEN '7' || {views.NUMBER} END AS registration_number,
-    CASE WHEN p_size = 3 THEN {_NEXT_LINE} ELSE p_name END AS mark_name,
+    CASE WHEN p_size = 3 THEN '' ELSE p_name END AS mark_name,
     'word' AS mark_type,
     array_to_string(list_filter([CAST(p_size AS INT), CAST(p_partkey % 45 + 1 AS INT), 0], lambda c: c BETWEEN 1 AND 45), ',') AS nice_classes,
     p_name || '|' || p_type AS goods_services, p_brand AS applicant_name, {views.PAGE_COUNTRY} AS applicant_country,
     {views.PAGE_ISO} AS filing_date, {status_of(views.PAGE_STATUS)} AS status, 'EU' AS jurisdiction, 'euipo' AS source,
     {views.PAGE_URL} AS raw_url, '2026-04-20T00:00:00' AS scraped_at,
-    CASE WHEN p_size = 7 THEN 'missing application_number' END AS reject_reason
+    CASE p_size WHEN 7 THEN 'missing application_number' WHEN 3 THEN 'missing mark_name' END AS reject_reason
   FROM part)"""
 
 CHANGES = """changes AS (
@@ -227,14 +233,17 @@ done AS (SELECT {key}, i, CASE
 SELECT {key}, string_agg(l, chr(10) ORDER BY i) AS markdown FROM done GROUP BY {key}"""
 
 
-_OBJECTION = r"(?:Article|Art\.)\s*([78]\(\d+\)(?:\([a-z]\))?)"
-CODES = f"""codes AS (
-  SELECT doc_id, c AS code, min(i) AS first FROM (
-    SELECT doc_id, unnest(regexp_extract_all(text, '{_OBJECTION}', 1)) AS c,
-      generate_subscripts(regexp_extract_all(text, '{_OBJECTION}', 1), 1) AS i FROM letters) GROUP BY doc_id, c)"""
-TYPES = "types(code, label) AS (VALUES " + ", ".join(f"('{c}', '{l}')" for c, l in OBJECTIONS) + ")"
+_REF = r"\d+(?:\s*\(\d+\))?(?:\s*\([a-z]\))?"
+_MENTION = rf"\bArticles\s*{_REF}(?:\s*(?:,\s*and|,\s*or|,|and|or|&)\s*{_REF})*|\b(?:Article|Art\.?)\s*{_REF}"
+CODES = f"""mentions AS (
+  SELECT doc_id, unnest(m) AS mention, generate_subscripts(m, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_MENTION}') AS m FROM letters)),
+refs AS (
+  SELECT doc_id, replace(unnest(r), ' ', '') AS ref, i * 1000 + generate_subscripts(r, 1) AS spot FROM (
+    SELECT doc_id, i, regexp_extract_all(mention, '{_REF}') AS r FROM mentions)),
+codes AS (SELECT doc_id, ref AS code, min(spot) AS first FROM refs WHERE ref LIKE '7(%' OR ref LIKE '8(%' GROUP BY doc_id, ref)"""
+TYPES = "types(code, label) AS (VALUES " + ", ".join(f"('{c}', '{l}')" for c, l in LABELS.items()) + ")"
 CITED = rf"""cited AS (
-  SELECT doc_id, 'Article ' || code AS citation FROM codes
+  SELECT doc_id, 'Article ' || ref AS citation FROM refs
   UNION SELECT doc_id, unnest(regexp_extract_all(text, '(Part\s+[A-Z],\s*Section\s+\d+)', 1)) FROM letters
   UNION SELECT doc_id, unnest(regexp_extract_all(text, '\b(R\s\d{{1,4}}/\d{{4}}-\d)\b', 1)) FROM letters)"""
 HEADER = f"""{views.LETTER_NUMBER} AS application_number, 'Mark-' || CAST(o_custkey AS VARCHAR) AS mark_name,
@@ -409,7 +418,9 @@ SELECT doc_id, array_to_string(regexp_extract_all(text, '(?i)[a-z]+: *([0-9]+)',
     "crawl_statistics": f"WITH {items()} SELECT 'euipo_bulletin' AS source, count(*) AS items, count(application_number) AS with_number FROM items",
     "letter_format": formatted("documents", "doc_id"),
     "letter_format_letters": formatted(f"(SELECT o_orderkey AS doc_id, {views.LETTER} AS text FROM orders)", "doc_id"),
-    "page_stitch": r"""SELECT conv_id, turn // 3 AS part, string_agg('## Page ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text,
+    "page_stitch": r"""SELECT conv_id, 0::BIGINT AS part, string_agg('## Page ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text,
+count(*) AS pages FROM conversations WHERE regexp_matches(text, '\S') GROUP BY conv_id""",
+    "page_stitch_parts": r"""SELECT conv_id, turn // 3 AS part, string_agg('## Page ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text,
 count(*) AS pages FROM conversations WHERE regexp_matches(text, '\S') GROUP BY conv_id, turn // 3""",
     "letter_header": f"""SELECT o_orderkey AS doc_id, {HEADER}, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, due AS response_deadline,
 try_cast(due AS DATE) AS deadline_day FROM (
@@ -418,8 +429,8 @@ SELECT *, (year(o_orderdate) + 1) || CASE WHEN o_orderpriority = '1-URGENT' THEN
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS position, code, label,
 CASE WHEN code LIKE '7%' THEN 'absolute' ELSE 'relative' END AS kind FROM codes LEFT JOIN types USING (code)""",
     "citations": f"WITH {LETTERS}, {CODES}, {CITED} SELECT doc_id, citation FROM cited",
-    "cited_articles": rf"""WITH {LETTERS}, {PASSAGES},
-a AS (SELECT DISTINCT doc_id, CAST(unnest(regexp_extract_all(text, '(?:Articles?|Art\.)\s*(\d+)', 1)) AS INT) AS article FROM letters)
+    "cited_articles": rf"""WITH {LETTERS}, {CODES}, {PASSAGES},
+a AS (SELECT DISTINCT doc_id, CAST(regexp_extract(ref, '^\d+') AS INT) AS article FROM refs)
 SELECT a.article, a.doc_id, heading, passages, first_passage FROM a LEFT JOIN
 (SELECT article, arg_min(heading, passage_id) AS heading, count(*) AS passages, min(passage_id) AS first_passage FROM passages GROUP BY article) p ON p.article = a.article""",
     "article_index": f"""WITH {PASSAGES} SELECT article, arg_min(heading, passage_id) AS heading, count(*) AS passages, min(passage_id) AS first_passage
@@ -450,7 +461,21 @@ g AS (SELECT doc_id, unnest(list_transform(range(1, len(u) - 1), lambda i: (u[i]
 n AS (SELECT doc_id, dim, count(*) AS n FROM g GROUP BY doc_id, dim),
 l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM n GROUP BY doc_id)
 SELECT doc_id, dim, round((n / l)::FLOAT::DOUBLE, 4) AS x FROM n JOIN l USING (doc_id)""",
-    "embed_with_cache": "SELECT DISTINCT substr(sha256('passage:' || p_name), 1, 16) AS key, p_name AS text, 64::BIGINT AS size FROM part",
+    "embed_with_cache": f"""WITH {REGISTER}, n AS (SELECT DISTINCT mark_name FROM register),
+e AS (SELECT mark_name, {ngram_vector("'passage: ' || mark_name")} AS v FROM n),
+x AS (SELECT id, mark_name, unnest(range(0, 64)) AS dim, unnest(v) AS x FROM register JOIN e USING (mark_name))
+SELECT id, mark_name, dim, round(x::DOUBLE, 4) AS x FROM x WHERE x <> 0""",
+    "ingest_with_vectors": f"""WITH {REGISTER}, {PARSED}, good AS (SELECT * FROM parsed WHERE reject_reason IS NULL),
+texts AS (SELECT application_number AS n, mark_name || ' | ' || array_to_string(list_transform(list_sort(
+  list_transform(string_split(nice_classes, ','), lambda c: CAST(c AS INT))), lambda c: 'Class ' || c), ', ') AS t FROM good),
+grams AS (SELECT n, unnest(list_transform(range(1, length(u) - 1),
+  lambda i: (unicode(u[i]) * 961 + unicode(u[i + 1]) * 31 + unicode(u[i + 2])) % 64)) AS g FROM (SELECT n, 'passage: ' || t AS u FROM texts))
+SELECT application_number, mark_name, status, 64::BIGINT AS numbers, (SELECT count(DISTINCT g) FROM grams WHERE n = application_number) AS not_zero FROM good
+UNION ALL SELECT application_number, mark_name, status, NULL, NULL FROM register
+WHERE p_partkey % 2 = 0 AND application_number NOT IN (SELECT application_number FROM good)""",
+    "watch_stream_into_register": f"""WITH {REGISTER}, {items()}
+SELECT application_number, mark_name, status, filing_date, array_to_string(nice_classes, ',') AS nice_classes FROM register
+UNION ALL SELECT application_number, mark_name, 'published', NULL, '' FROM items WHERE application_number NOT IN (SELECT application_number FROM register)""",
     "watch_stream": f"""WITH {items()} SELECT application_number, mark_name, 'published' AS status, 'euipo_bulletin' AS source FROM items""",
 }
 

@@ -15,10 +15,12 @@ from emblema.functions.names import band, letter_similarity, name_similarity, so
 from emblema.functions.text import calendar_date, field_list, iso_date, status_from_wording
 from emblema.operators import filters, lexical, nearest, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
+from emblema.operators.encode import embed_with_cache as cached_vectors
 from emblema.operators.pages import stitch_pages
 from emblema.plans import bulletin, clearance, ingest, legal, office_action, recommend, search, stats
+from emblema.schema import conform
 from emblema.session import fresh_path, settled
-from emblema.sources.register import read_changes
+from emblema.sources.register import append_records, create_register, current_register, open_register, read_changes
 from emblema.streaming import watch
 
 from . import views
@@ -485,10 +487,10 @@ def first_crawled(spark, sf_dir):
 def bulletin_alerts(spark, sf_dir):
     """Every bulletin item cleared against the whole register, vectors from the stand-in encoder."""
     encoder = ngram_encoder(64)
-    watched = embed_column(views.register(spark, sf_dir), "mark_name", encoder)
+    watched = settled(embed_column(views.register(spark, sf_dir), "mark_name", encoder), "watched")
     items = bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir))
     found = watch.alerts(items, watched, encoder, levels=("HIGH", "MEDIUM"))
-    return found.select("query_id", "candidate_name", "rank", "id", "mark_name", "semantic", "sound", "overall", "risk")
+    return found.select(F.col("item").alias("query_id"), "candidate_name", "rank", "id", "mark_name", "semantic", "sound", "overall", "risk")
 
 
 @query
@@ -509,6 +511,11 @@ def letter_format_letters(spark, sf_dir):
 
 @query
 def page_stitch(spark, sf_dir):
+    return stitch_pages(views.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query
+def page_stitch_parts(spark, sf_dir):
     return stitch_pages(views.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", pages_per_part=3)
 
 
@@ -609,16 +616,31 @@ def embed_hashed(spark, sf_dir):
 def embed_with_cache(spark, sf_dir):
     path = fresh_path(spark, "embed-cache")
     marks = views.register(spark, sf_dir)
-    cache = fill_cache(marks.where("status = 'registered'"), path, "mark_name", ngram_encoder(64))
-    cache = fill_cache(marks, path, "mark_name", ngram_encoder(64))
-    return cache.select("key", "text", F.size("vector").cast("bigint").alias("size"))
+    fill_cache(marks.where("status = 'registered'"), path, "mark_name", ngram_encoder(64))
+    return _numbers(cached_vectors(marks, path, "mark_name", ngram_encoder(64)))
+
+
+def _numbers(marks: DataFrame) -> DataFrame:
+    """The numbers of the vectors that are not zero."""
+    each = marks.select("id", "mark_name", F.posexplode("text_vector").alias("dim", "x")).where("x <> 0")
+    return each.select("id", "mark_name", F.col("dim").cast("bigint").alias("dim"), rounded(F.col("x").cast("double"), 4).alias("x"))
 
 
-# --- stream -----------------------------------------------------------------------------------------------
 @query
-def watch_stream(spark, sf_dir):
-    """The part table as a stream of landed bulletin pages, written as change batches of the register."""
-    home = fresh_path(spark, "watch")
+def ingest_with_vectors(spark, sf_dir):
+    """Detail pages read, encoded through the cache and put into a register that holds half of their numbers."""
+    base = conform(views.register(spark, sf_dir).where("p_partkey % 2 = 0"))
+    parsed = ingest.parse_detail_pages(views.detail_pages(spark, sf_dir))
+    path = fresh_path(spark, "embed-cache")
+    stored = ingest.ingest_with_vectors(base, parsed, path, ngram_encoder(64))
+    return stored.select(
+        "application_number", "mark_name", "status", F.size("text_vector").cast("bigint").alias("numbers"),
+        F.size(F.filter("text_vector", lambda x: x != 0)).cast("bigint").alias("not_zero"),
+    )
+
+
+# --- stream -----------------------------------------------------------------------------------------------
+def _watched(spark, sf_dir, home, register=None):
     part = views.table(spark, sf_dir, "part")
     landed = watch.stream_pages(spark, sf_dir, part.schema, name_pattern="part.parquet").select(
         F.col("p_partkey").alias("page_id"),
@@ -626,6 +648,28 @@ def watch_stream(spark, sf_dir):
         F.expr("timestamp '2026-04-20 00:00:00'").alias("landed_at"),
     )
     items = watch.first_items(watch.stream_items(landed))
-    run = watch.watch_register(items, f"{home}/changes", f"{home}/checkpoint")
+    run = watch.watch_register(
+        items, f"{home}/changes", f"{home}/checkpoint", register=register, known_path=f"{home}/known"
+    )
     run.awaitTermination()
-    return read_changes(spark, f"{home}/changes").select("application_number", "mark_name", "status", "source")
+    return read_changes(spark, f"{home}/changes")
+
+
+@query
+def watch_stream(spark, sf_dir):
+    """The part table as a stream of landed bulletin pages, written as change batches of the register."""
+    changes = _watched(spark, sf_dir, fresh_path(spark, "watch"))
+    return changes.select("application_number", "mark_name", "status", "source")
+
+
+@query
+def watch_stream_into_register(spark, sf_dir):
+    """The same stream over a register that has half of the numbers: full records stay as they are."""
+    home = fresh_path(spark, "watch")
+    create_register(spark, f"{home}/register")
+    append_records(views.register(spark, sf_dir), f"{home}/register")
+    changes = _watched(spark, sf_dir, home, lambda: open_register(spark, f"{home}/register"))
+    current = current_register(open_register(spark, f"{home}/register"), changes)
+    return current.select(
+        "application_number", "mark_name", "status", "filing_date", F.array_join("nice_classes", ",").alias("nice_classes")
+    )

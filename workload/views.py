@@ -89,6 +89,7 @@ LETTER = (
     f"'The sign is objectionable under Article 7(1)(b) as well, see Guidelines, Part B, Section 4' || "
     f"CASE WHEN o_totalprice > 200000 THEN ' and decision R ' || CAST(o_orderkey % 9000 AS VARCHAR(5)) || '/2020-1.' ELSE '.' END || {NL} || "
     f"CASE WHEN o_orderpriority = '2-HIGH' THEN 'Art. 8(5) is invoked.' || {NL} ELSE '' END || "
+    f"CASE WHEN o_orderkey % 5 = 0 THEN 'See Articles 7(1)(d), 8 (4) and 7(1)(b), Art 7 (1) (g) and Article 94(1).' || {NL} ELSE '' END || "
     f"'DEADLINE FOR RESPONSE: ' || {DEADLINE} || {NL}"
 )
 
