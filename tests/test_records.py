@@ -15,8 +15,8 @@ from emblema.sources import register as table
 @pytest.fixture(scope="module")
 def marks(spark):
     rows = [
-        ("1", "001", "Marisol", [9, 37], "DE", "2024-03-15", "registered", [1.0, 0.0]),
-        ("2", "002", "Marflux", [9, 11], "FR", "2023-06-20", "registered", [0.9, 0.1]),
+        ("1", "001", "SolMarine", [9, 37], "DE", "2024-03-15", "registered", [1.0, 0.0]),
+        ("2", "002", "SolBlix", [9, 11], "FR", "2023-06-20", "registered", [0.9, 0.1]),
         ("3", "003", "50%_Off", [35], "FR", None, "application", None),
         ("4", "004", "EcoVolt", [9, 35, 37], "SE", "2020-01-01", "published", [0.0, 1.0]),
     ]
@@ -55,7 +55,7 @@ def test_stats(marks):
     rows = {r["status"]: (r["count"], r["total_records"]) for r in stats.register_stats(marks).collect()}
     assert rows == {"registered": (2, 4), "application": (1, 4), "published": (1, 4)}
     listed = {(r["nice_class"], r["mark_name"]) for r in stats.class_listing(marks).collect()}
-    assert listed == {(9, "Marisol"), (37, "Marisol"), (9, "Marflux"), (11, "Marflux")}
+    assert listed == {(9, "SolMarine"), (37, "SolMarine"), (9, "SolBlix"), (11, "SolBlix")}
 
 
 def test_conform_fills_defaults(spark):
