@@ -150,8 +150,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
     thinned = F.filter(tokens, lambda w, k: (F.col("v") < 8) | (F.pmod(F.xxhash64(w, k, "v"), F.lit(12)) != 0))
     licence = varied.select("family", thinned.alias("tokens"), "v")
     marks = "(?i)licen[cs]|copyright|permission|rights reserved|public domain|redistribut"
-    sample = docs.select(F.explode(F.split("text", "\n")).alias("text")).where((F.length("text") > 0) & ~F.col("text").rlike(marks))
-    ordinary = sample.orderBy(F.xxhash64("text"), "text").limit(ORDINARY_ROWS).select(F.lit(ORDINARY).alias("family"), words(F.col("text")).alias("tokens"), F.lit(0).alias("v"))
+    # the hash takes in id and place, so a line that many documents share gets its share of the sample and no more
+    sample = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).where((F.length("text") > 0) & ~F.col("text").rlike(marks))
+    ordinary = sample.orderBy(F.xxhash64("doc_id", "at", "text"), "text").limit(ORDINARY_ROWS).select(F.lit(ORDINARY).alias("family"), words(F.col("text")).alias("tokens"), F.lit(0).alias("v"))
     return licence.unionByName(ordinary)
 
 
