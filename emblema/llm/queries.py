@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licences, minhash, mixing, packing, quality, repeats, search, secrets, toxicity
+from . import fingerprints, licences, minhash, mixing, packing, quality, repeats, search, secrets, spelling, toxicity, warc, whitening
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_documents(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_licences, op2_suffixes, op3_quality, op4_packing, op5_secrets, op6_fingerprints, op7_mixing, op8_minhash, op9_toxicity, op10_search)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_documents(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_licences, op2_suffixes, op3_quality, op4_packing, op5_secrets, op6_fingerprints, op7_mixing, op8_minhash, op9_toxicity, op10_search, op11_warc, op12_whitening, op13_spelling)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE}
+ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE, "op11_warc": warc.ORACLE}
