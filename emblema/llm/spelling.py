@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,12 +31,18 @@ from pyspark.sql import functions as F
 from emblema.session import settled
 
 from .common import only
+from .rolling import mixed
 
 #: Grams are counted in so many cells by hash, which bounds the table sent to the tasks whatever the alphabet.
 GRAM_CELLS = 1 << 16
 #: Words that share a key are paired within it up to this number; beyond, the key is narrowed.
-CROWD = 256
+CROWD = 64
 HELD_WORDS, HELD_CHARS = 200_000, 8 << 20
+#: Rows of a batch that a task hands on.
+PIECE = 50_000
+#: Of the polynomial hash: an odd number and its inverse for 64 bits.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Words of at most so many letters have too few bigrams; of at least so many, their first or last half of that is equal.
 SHORT, LONG = 4, 512
 SIGNATURE = {
@@ -173,51 +180,64 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, SIGNATURE.values(), strict=True)], names=list(SIGNATURE))
 
 
-def narrowed(rows: DataFrame) -> DataFrame:
-    """Rows of crowded keys under narrower ones: the open side as it is, and with each of its letters left out in turn.
+def open_sides(words: list[str], starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash for each word's open side as it is, and with each of its letters left out in turn.
 
-    Two sides that are one edit apart have one of these in common. The hash is a polynomial in the letters, so that all
-    of a side's keys cost one pass over it.
+    Polynomial hashes of 64 bits from running sums, so all of a side's cost one pass over it. Of equal letters side by
+    side one is left out, as the others give the same.
     """
-    prime, base = (1 << 61) - 1, 1_000_003
-    names = [f.name for f in rows.schema]
-
-    def keys(key: int, side: str) -> Iterator[int]:
-        upto, power = [0], [1]
-        for c in side:
-            upto.append((upto[-1] * base + ord(c) + 1) % prime)
-            power.append(power[-1] * base % prime)
-        whole = upto[-1]
-        yield xxhash.xxh3_64_intdigest(f"{key}|{whole}") - (1 << 63)
-        for p in range(len(side)):
-            after = (whole - upto[p + 1] * power[len(side) - p - 1]) % prime
-            yield xxhash.xxh3_64_intdigest(f"{key}|{(upto[p] * power[len(side) - p - 1] + after) % prime}") - (1 << 63)
+    lengths = np.array([len(w) for w in words], np.int64)
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    begins = np.cumsum(lengths) - lengths + starts
+    sizes = stops - starts
+    many = int(lengths.max(initial=0)) + 1
+    power, inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(many, base, np.uint64)])) for base in (BASE, INVERSE))
+    offset = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * power[offset])])
+    whole = (sums[begins + sizes] - sums[begins]) * inverse[starts]
+    row = np.repeat(np.arange(len(words)), sizes)
+    at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(row))
+    own = np.ones(len(row), bool)
+    own[1:] = (letters[at[1:]] != letters[at[:-1]]) | (row[1:] != row[:-1])
+    row, at = row[own], at[own]
+    less = (sums[at] - sums[begins[row]]) * inverse[starts[row]] + (sums[begins[row] + sizes[row]] - sums[at + 1]) * inverse[starts[row] + 1]
+    return np.concatenate([np.arange(len(words)), row]), np.concatenate([whole, less])
+
+
+def narrowed(rows: DataFrame) -> DataFrame:
+    """Rows of crowded keys under narrower ones: two sides that are one edit apart are equal once the right letter is
+    left out of the longer, or of both."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                one = row.to_pylist()[0]
-                fine = list(dict.fromkeys(keys(one["key"], one["word"][one["start"] : one["stop"]])))
-                step = HELD_CHARS // (len(one["word"]) + 64) + 1
-                for begin in range(0, len(fine), step):
-                    some = fine[begin : begin + step]
-                    many = row.take(pa.array([0] * len(some), pa.int32()))
-                    yield many.set_column(names.index("key"), "key", pa.array(some, pa.int64()))
+            words = batch.column("word").to_pylist()
+            chars = np.cumsum([len(w) * (len(w) + 64) for w in words])
+            ends = np.unique(np.searchsorted(chars, np.arange(HELD_CHARS, chars[-1] + HELD_CHARS, HELD_CHARS), "right")) if words else []
+            for begin, end in zip([0, *ends], [*ends, len(words)]):
+                if begin < end:
+                    part = batch.slice(begin, end - begin)
+                    bounds = [part.column(c).to_numpy().astype(np.int64) for c in ("start", "stop")]
+                    row, side = open_sides(words[begin:end], *bounds)
+                    fine = mixed(part.column("key").to_numpy().view(np.uint64)[row] + mixed(side)).view(np.int64)
+                    for at in range(0, len(row), PIECE):
+                        many = part.take(pa.array(row[at : at + PIECE]))
+                        yield many.set_column(many.schema.get_field_index("key"), "key", pa.array(fine[at : at + PIECE]))
 
     return rows.mapInArrow(spread, rows.schema)
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Pivots beside the prefixes of other words under the same key, verified: both words in code-point order."""
-    asking = rows.where("pivot").select(*[F.col(c).alias(f"a_{c}") for c in ("key", "last_n", "last", "word", "n")])
-    ends = F.struct(F.col("a_last_n"), F.col("a_last")) <= F.struct(F.col("last_n"), F.col("last"))
-    lengths = F.abs(F.length("word") - F.length("a_word")) <= 1
-    found = asking.join(rows, (F.col("a_key") == F.col("key")) & ends & lengths & (F.col("a_word") != F.col("word")))
-    near = found.where(F.levenshtein("a_word", "word", 1) == 1)
-    first = F.col("a_word") < F.col("word")
-    pick = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
-    return near.select(pick("a_word", "word").alias("word"), pick("a_n", "n").alias("n"), pick("word", "a_word").alias("near"), pick("n", "a_n").alias("near_n"))
+    """Words under one key of which one's pivot stands in the other's prefix, verified; the smaller word first.
+
+    Both sides of the join are the same table, so that it is shuffled once.
+    """
+    a, b = rows.alias("a"), rows.alias("b")
+    ends = {t: F.struct(F.col(f"{t}.last_n"), F.col(f"{t}.last")) for t in "ab"}
+    asked = (F.col("a.pivot") & (ends["a"] <= ends["b"])) | (F.col("b.pivot") & (ends["b"] <= ends["a"]))
+    lengths = F.abs(F.length("a.word") - F.length("b.word")) <= 1
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word")) & lengths & asked)
+    near = found.where(F.levenshtein("a.word", "b.word", 1) == 1)
+    return near.select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
 
 
 def near_words(words: DataFrame, *, crowd: int = CROWD) -> DataFrame:
@@ -241,7 +261,7 @@ def spelling_forms(words: DataFrame, *, ratio: int = 10, crowd: int = CROWD) ->
     """
     if ratio < 2:
         raise ValueError("ratio is at least 2, so that forms cannot go round in a circle")
-    near = near_words(words, crowd=crowd)
+    near = settled(near_words(words, crowd=crowd), "spelling-near")
     both = near.union(near.select("near", "near_n", "word", "n"))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
     chosen = words.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))

@@ -287,3 +287,25 @@ def test_members_are_read_in_any_chunks():
         assert list(warc.members(io.BytesIO(packed), chunk)) == data
     with pytest.raises(ValueError, match="ends within"):
         list(warc.members(io.BytesIO(packed[:-3]), 64))
+
+
+def test_open_sides_share_a_hash_exactly_when_one_edit_apart():
+    pick = random.Random(6)
+    words = ["".join(pick.choice("abé") for _ in range(pick.randint(0, 9))) for _ in range(400)] + ["\U0001f600x" * 300]
+    starts = np.array([pick.randint(0, len(w)) for w in words])
+    stops = np.array([pick.randint(s, len(w)) for s, w in zip(starts, words)])
+    rows, hashes = spelling.open_sides(words, starts, stops)
+    found = [set() for _ in words]
+    for r, h in zip(rows, hashes):
+        found[r].add(int(h))
+    sides = [w[s:e] for w, s, e in zip(words, starts, stops)]
+    kinds = {}
+    for side, own in zip(sides, found):
+        variants = {side, *(side[:p] + side[p + 1 :] for p in range(len(side)))}
+        assert len(own) == len(variants)
+        assert kinds.setdefault(side, own) == own  # wherever the side stands in its word
+    names = list(kinds)
+    for x in range(len(names)):
+        for y in range(x):
+            if one_edit(names[x], names[y]):
+                assert kinds[names[x]] & kinds[names[y]]
