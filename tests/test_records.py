@@ -15,10 +15,10 @@ from emblema.sources import register as table
 @pytest.fixture(scope="module")
 def marks(spark):
     rows = [
-        ("1", "001", "SolMarine", [9, 37], "DE", "2024-03-15", "registered", [1.0, 0.0]),
-        ("2", "002", "SolBlix", [9, 11], "FR", "2023-06-20", "registered", [0.9, 0.1]),
-        ("3", "003", "50%_Off", [35], "FR", None, "application", None),
-        ("4", "004", "EcoVolt", [9, 35, 37], "SE", "2020-01-01", "published", [0.0, 1.0]),
+        ("1", "001", "Kornblume", [16, 25], "AT", "2019-07-09", "registered", [1.0, 0.0]),
+        ("2", "002", "Kornhaus", [16, 30], "PT", "2018-02-28", "registered", [0.9, 0.1]),
+        ("3", "003", "50%_Off", [41], "PT", None, "application", None),
+        ("4", "004", "Weidenrose", [16, 25, 41], "FI", "2011-05-05", "published", [0.0, 1.0]),
     ]
     schema = "id string, application_number string, mark_name string, nice_classes array<int>, applicant_country string, filing_date string, status string, text_vector array<float>"
     return conform(spark.createDataFrame(rows, schema))
@@ -29,18 +29,18 @@ def ids(df):
 
 
 def test_filters(marks):
-    assert ids(filters.filter_register(marks, nice_classes=[9, 37])) == ["1", "4"]
-    assert ids(filters.filter_register(marks, any_classes=[11, 35])) == ["2", "3", "4"]
-    assert ids(marks.where(filters.contains_list([9, 35]))) == ["4"]
-    assert ids(filters.filter_register(marks, status="registered", country="FR")) == ["2"]
-    assert ids(filters.filter_register(marks, filing_date_after="2023-06-20")) == ["1", "2"]
-    assert ids(filters.filter_register(marks, query_text="Sol")) == ["1", "2"]
-    assert ids(filters.filter_register(marks, query_text="sol")) == []
+    assert ids(filters.filter_register(marks, nice_classes=[16, 25])) == ["1", "4"]
+    assert ids(filters.filter_register(marks, any_classes=[30, 41])) == ["2", "3", "4"]
+    assert ids(marks.where(filters.contains_list([16, 41]))) == ["4"]
+    assert ids(filters.filter_register(marks, status="registered", country="PT")) == ["2"]
+    assert ids(filters.filter_register(marks, filing_date_after="2018-02-28")) == ["1", "2"]
+    assert ids(filters.filter_register(marks, query_text="Korn")) == ["1", "2"]
+    assert ids(filters.filter_register(marks, query_text="korn")) == []
     assert ids(filters.filter_register(marks, query_text="_")) == ["1", "2", "3", "4"]
     assert ids(filters.filter_register(marks, query_text="%_", literal=True)) == ["3"]
     assert ids(filters.filter_register(marks, statuses=["published", "application"])) == ["3", "4"]
     assert ids(filters.filter_register(marks, limit=2)) == ["1", "2"]
-    assert ids(filters.where_clause(marks, "mark_name LIKE 'S%' AND size(nice_classes) = 2", 1)) == ["1"]
+    assert ids(filters.where_clause(marks, "mark_name LIKE 'K%' AND size(nice_classes) = 2", 1)) == ["1"]
     assert ids(filters.by_application_number(marks, "004")) == ["4"]
     assert ids(filters.by_application_number(marks, "4' OR '1'='1")) == []
     assert not {"text_vector", "image_vector"} & set(filters.filter_register(marks).columns)
@@ -55,7 +55,7 @@ def test_stats(marks):
     rows = {r["status"]: (r["count"], r["total_records"]) for r in stats.register_stats(marks).collect()}
     assert rows == {"registered": (2, 4), "application": (1, 4), "published": (1, 4)}
     listed = {(r["nice_class"], r["mark_name"]) for r in stats.class_listing(marks).collect()}
-    assert listed == {(9, "SolMarine"), (37, "SolMarine"), (9, "SolBlix"), (11, "SolBlix")}
+    assert listed == {(16, "Kornblume"), (25, "Kornblume"), (16, "Kornhaus"), (30, "Kornhaus")}
 
 
 def test_conform_fills_defaults(spark):
@@ -132,19 +132,19 @@ def test_bucketed_base_is_not_shuffled(spark):
 
 def test_typed_dates(marks):
     rows = {r["id"]: r["filing_day"] for r in table.add_typed_dates(marks).collect()}
-    assert str(rows["1"]) == "2024-03-15" and rows["3"] is None
+    assert str(rows["1"]) == "2019-07-09" and rows["3"] is None
 
 
 BOLD = """# Trade mark details
-**Mark name:** SolarFlux
-**Application number:** 019123456
-**Filing date:** 20/04/2026
-**Nice classes:** 9, 35, 42, 46
+**Application number:** 004418020
+**Mark name:** Murmeltier
 Status: Surrendered
-Services: Solar panels; ; Installation
-Country: fr
+**Nice classes:** 3, 46, 28, 31
+Services: Toys; ; Seeds
+Country: cz
+**Filing date:** 03/11/2019
 """
-PLAIN = "Trade mark: Zephyr\nApp. No.: 1234567\nReg No: 77\nRegistration date: 01/02/2020\nProprietor: Wind ApS\nOrigin: DK\n"
+PLAIN = "Trade mark: Hexerei\nApp. No.: 8803115\nReg No: 77\nRegistration date: 01/02/2020\nProprietor: Besen OY\nOrigin: EE\n"
 
 
 def test_detail_pages(spark):
@@ -152,11 +152,11 @@ def test_detail_pages(spark):
     parsed = ingest.parse_detail_pages(pages, scraped_at="2026-01-01T00:00:00")
     good = {r["raw_url"]: r for r in ingest.accepted(parsed).collect()}
     one, two = good["u1"], good["u2"]
-    assert (one["mark_name"], one["application_number"], one["filing_date"]) == ("SolarFlux", "019123456", "2026-04-20")
-    assert (one["nice_classes"], one["goods_services"]) == ([9, 35, 42], ["Solar panels", "Installation"])
-    assert (one["status"], one["applicant_country"], one["registration_number"]) == ("surrendered", "fr", None)
-    assert (two["mark_name"], two["registration_number"], two["registration_date"]) == ("Zephyr", "77", "2020-02-01")
-    assert (two["applicant_name"], two["applicant_country"], two["filing_date"]) == ("Wind ApS", "DK", None)
+    assert (one["mark_name"], one["application_number"], one["filing_date"]) == ("Murmeltier", "004418020", "2019-11-03")
+    assert (one["nice_classes"], one["goods_services"]) == ([3, 28, 31], ["Toys", "Seeds"])
+    assert (one["status"], one["applicant_country"], one["registration_number"]) == ("surrendered", "cz", None)
+    assert (two["mark_name"], two["registration_number"], two["registration_date"]) == ("Hexerei", "77", "2020-02-01")
+    assert (two["applicant_name"], two["applicant_country"], two["filing_date"]) == ("Besen OY", "EE", None)
     bad = {r["raw_url"]: r["reject_reason"] for r in ingest.rejected(parsed).collect()}
     assert bad == {"u3": "missing application_number", "u4": "missing application_number"}
     again = ingest.accepted(ingest.parse_detail_pages(pages)).select("id").collect()
@@ -170,5 +170,5 @@ def test_ingest_of_urls(spark):
     assert tuple(ingest.ingest_totals(parsed).first()) == (4, 2, 2)
     reasons = {r["raw_url"]: r["reject_reason"] for r in ingest.rejected(parsed).collect()}
     assert reasons == {"u2": "missing application_number", "gone": "no page"}
-    register = ingest.ingest_into(conform(spark.createDataFrame([("0", "019123456", "Old")], ["id", "application_number", "mark_name"])), parsed)
-    assert [r["mark_name"] for r in register.collect()] == ["SolarFlux"]
+    register = ingest.ingest_into(conform(spark.createDataFrame([("0", "004418020", "Old")], ["id", "application_number", "mark_name"])), parsed)
+    assert [r["mark_name"] for r in register.collect()] == ["Murmeltier"]
