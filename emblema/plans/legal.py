@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.letters import article_numbers
 from ..functions.rows import each_element
 from ..functions.text import has_text, strip
 from ..operators.lexical import bm25, reciprocal_rank_fusion, shared_terms
+from ..operators.postings import Postings, bm25_stored, build_postings, open_postings, shared_terms_stored
 from ..session import settled
 
 MODES = ("naive", "local", "global", "hybrid")
@@ -78,33 +82,81 @@ def retrieve(
     global  the best word matches, most cited article first
     hybrid  local and global fused by rank
     """
+    related = _with_articles(passages)
+
+    def best(many: int, *keep: str) -> DataFrame:
+        return bm25(related, queries, many, doc_id="passage_id", keep=keep)
+
+    def sharing(weights: DataFrame, many: int) -> DataFrame:
+        return shared_terms(related, weights, many, item_id="passage_id", terms="articles")
+
+    return _by_mode(mode, k, depth, best, sharing, lambda: citation_degree(passages))
+
+
+@dataclass(frozen=True)
+class LegalIndex:
+    """What retrieval needs, stored: the passages' words, the graph's edges from article to passage, and how often an
+    article is cited. The edges of a much-cited article are split by ranges of passages, as the postings of a word are."""
+
+    words: Postings
+    edges: Postings
+    degrees: DataFrame
+
+
+def build_legal_index(passages: DataFrame, path: str, **options) -> LegalIndex:
+    """Writes the index of passages as ``split_passages`` gives them. They are computed once."""
+    spark = passages.sparkSession
+    passages.write.parquet(f"{path}/passages")
+    stored = _with_articles(spark.read.parquet(f"{path}/passages"))
+    build_postings(stored, f"{path}/words", doc_id="passage_id", keep=["article", "articles"], **options)
+    build_postings(stored, f"{path}/edges", doc_id="passage_id", terms="articles", **options)
+    citation_degree(stored).write.parquet(f"{path}/degrees")
+    return open_legal_index(spark, path)
+
+
+def open_legal_index(spark: SparkSession, path: str) -> LegalIndex:
+    words, edges = (open_postings(spark, f"{path}/{part}", doc_id="passage_id") for part in ("words", "edges"))
+    return LegalIndex(words, edges, spark.read.parquet(f"{path}/degrees"))
+
+
+def retrieve_stored(index: LegalIndex, queries: DataFrame, mode: str = "hybrid", k: int = 10, *, depth: int = 50) -> DataFrame:
+    """``retrieve`` from the index: reads the postings of the queries' words and the edges of the articles they lead to."""
+
+    def best(many: int, *keep: str) -> DataFrame:
+        return bm25_stored(index.words, queries, many, keep=keep)
+
+    def sharing(weights: DataFrame, many: int) -> DataFrame:
+        return shared_terms_stored(index.edges, weights, many)
+
+    return _by_mode(mode, k, depth, best, sharing, lambda: index.degrees)
+
+
+def _by_mode(mode: str, k: int, depth: int, best: Callable, sharing: Callable, degrees: Callable) -> DataFrame:
+    """``best`` gives word matches, ``sharing`` the passages of weighted articles, ``degrees`` citations by article."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     if mode == "naive":
-        return bm25(passages, queries, k, doc_id="passage_id")
-    related = _with_articles(passages)
-    seeds = bm25(related, queries, depth, doc_id="passage_id", keep=["article", "articles"])
-    seeds = settled(seeds, "legal-seeds")
+        return best(k)
+    seeds = settled(best(depth, "article", "articles"), "legal-seeds")
     if mode == "local":
-        return _local(related, seeds, k)
+        return sharing(_article_weights(seeds), k)
     if mode == "global":
-        return _global(passages, seeds, k)
-    lists = [_local(related, seeds, depth), _global(passages, seeds, depth)]
+        return _global(degrees(), seeds, k)
+    lists = [sharing(_article_weights(seeds), depth), _global(degrees(), seeds, depth)]
     fused = reciprocal_rank_fusion(lists, k, item_id="passage_id")
     return fused.select("query_id", "passage_id", F.col("fused_score").alias("score"), "rank")
 
 
-def _local(related: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    weights = (
+def _article_weights(seeds: DataFrame) -> DataFrame:
+    return (
         seeds.select("query_id", F.explode("articles").alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return shared_terms(related, weights, k, item_id="passage_id", terms="articles")
 
 
-def _global(passages: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    ranked = seeds.join(citation_degree(passages), "article", "left").select(
+def _global(degrees: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    ranked = seeds.join(degrees, "article", "left").select(
         "query_id", "passage_id", F.coalesce("cited_by", F.lit(0)).cast("double").alias("score"), F.col("rank").alias("_r")
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_r")

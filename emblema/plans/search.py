@@ -11,6 +11,7 @@ from ..constants import RRF_K, SEARCH_LIMIT
 from ..operators.filters import first_rows, register_condition
 from ..operators.lexical import bm25, reciprocal_rank_fusion
 from ..operators.nearest import CellIndex, nearest, search_vectors
+from ..operators.postings import Postings, bm25_stored
 from ..schema import without_vectors
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -65,15 +66,19 @@ def fused_search(
     query_vector: str = "query_vector",
     constant: int = RRF_K,
     index: CellIndex | None = None,
+    postings: Postings | None = None,
 ) -> DataFrame:
-    """Vector ranking and word ranking, each to ``depth``, fused by rank."""
+    """Vector ranking and word ranking, each to ``depth``, fused by rank. With ``postings``, an index of the register's
+    ``text`` by ``item_id``, words are looked up there and no text is read."""
     dense = search_vectors(
         register, queries, depth, index=index, item_id=item_id, vector=vector, query_id=query_id,
         query_vector=query_vector, keep=[item_id],
     )
-    lexical = bm25(
-        register, queries, depth, doc_id=item_id, text=text, query_id=query_id, query_text=query_text
-    )
+    asked = dict(query_id=query_id, query_text=query_text)
+    if postings is None:
+        lexical = bm25(register, queries, depth, doc_id=item_id, text=text, **asked)
+    else:
+        lexical = bm25_stored(postings, queries, depth, **asked)
     return reciprocal_rank_fusion([dense, lexical], k, query_id=query_id, item_id=item_id, constant=constant)
 
 

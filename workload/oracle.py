@@ -480,3 +480,7 @@ UNION ALL SELECT application_number, mark_name, 'published', NULL, '' FROM items
 }
 
 ORACLE["hybrid_search_in_cells"] = ORACLE["hybrid_search_vector_and_filter"]
+# the same answers from stored postings
+ORACLE |= {name: ORACLE["bm25_search"] for name in ("bm25_stored", "bm25_stored_segments", "bm25_stored_merged")}
+ORACLE |= {"word_statistics_stored": ORACLE["word_statistics"], "rrf_fusion_stored": ORACLE["rrf_fusion"], "nice_recommend_stored": ORACLE["nice_recommend"]}
+ORACLE |= {f"legal_stored_{mode}": ORACLE[f"legal_retrieval_{mode}"] for mode in ("naive", "local", "global", "hybrid")}

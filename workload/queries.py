@@ -13,7 +13,7 @@ from emblema.functions.keys import cache_key, encoder_text
 from emblema.functions.letters import format_letter
 from emblema.functions.names import band, letter_similarity, name_similarity, sound_key, transliterate
 from emblema.functions.text import calendar_date, field_list, iso_date, status_from_wording
-from emblema.operators import filters, lexical, nearest, upsert
+from emblema.operators import filters, lexical, nearest, postings, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
 from emblema.operators.encode import embed_with_cache as cached_vectors
 from emblema.operators.pages import stitch_pages
@@ -246,6 +246,56 @@ def nice_recommend(spark, sf_dir):
     return recommend.recommend_classes(views.register(spark, sf_dir), asked, 5)
 
 
+# --- words from stored postings ---------------------------------------------------------------------------
+@query
+def bm25_stored(spark, sf_dir):
+    index = postings.temporary_postings(views.text_table(spark, sf_dir, "documents"))
+    return postings.bm25_stored(index, views.text_queries(spark, sf_dir), 10)
+
+
+def _grown_index(spark, sf_dir):
+    """Texts come in three additions; those in French come twice, first with another text."""
+    docs = views.text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    stale = docs.where("lang = 'fr'").withColumn("text", F.concat_ws(" ", "lang", F.reverse("text")))
+    others = docs.where("lang NOT IN ('de', 'fr')")
+    index = postings.temporary_postings(others.unionByName(stale))
+    index = postings.add_texts(index, docs.where("lang = 'de'"))
+    return postings.add_texts(index, docs.where("lang = 'fr'"))
+
+
+@query
+def bm25_stored_segments(spark, sf_dir):
+    return postings.bm25_stored(_grown_index(spark, sf_dir), views.text_queries(spark, sf_dir), 10)
+
+
+@query
+def bm25_stored_merged(spark, sf_dir):
+    merged = postings.merge_segments(_grown_index(spark, sf_dir))
+    return postings.bm25_stored(merged, views.text_queries(spark, sf_dir), 10)
+
+
+@query
+def word_statistics_stored(spark, sf_dir):
+    return postings.stored_statistics(_grown_index(spark, sf_dir))
+
+
+@query
+def rrf_fusion_stored(spark, sf_dir):
+    docs, vectors = views.text_table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "embeddings")
+    both = docs.join(vectors, docs.doc_id == vectors.vec_id, "left")
+    index = postings.temporary_postings(docs)
+    return search.fused_search(
+        both, views.vector_queries(spark, sf_dir), 10, depth=50, item_id="doc_id", text="text", vector="embedding", postings=index
+    )
+
+
+@query
+def nice_recommend_stored(spark, sf_dir):
+    asked = views.candidates(spark, sf_dir).select("query_id", F.replace("candidate_name", F.lit("y"), F.lit("i")).alias("query_text"))
+    index = postings.temporary_postings(views.register(spark, sf_dir), doc_id="id", text="goods_text", keep=["nice_classes"])
+    return recommend.recommend_classes(None, asked, 5, postings=index)
+
+
 # --- names ------------------------------------------------------------------------------------------------
 @query
 def sound_similarity(spark, sf_dir):
@@ -571,8 +621,18 @@ def _retrieve(mode):
     return run
 
 
+def _retrieve_stored(mode):
+    def run(spark, sf_dir):
+        passages = legal.split_passages(views.statutes(spark, sf_dir))
+        index = legal.build_legal_index(passages, fresh_path(spark, "legal"))
+        return legal.retrieve_stored(index, views.text_queries(spark, sf_dir), mode)
+
+    return run
+
+
 for _mode in legal.MODES:
     QUERIES[f"legal_retrieval_{_mode}"] = _retrieve(_mode)
+    QUERIES[f"legal_stored_{_mode}"] = _retrieve_stored(_mode)
 
 
 # --- encoding ---------------------------------------------------------------------------------------------
