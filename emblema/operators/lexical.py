@@ -15,7 +15,6 @@ from ..constants import BM25_B, BM25_K1, RRF_K
 from ..functions.numbers import rounded
 from ..functions.rows import each_element
 from ..functions.text import words
-from ..session import settled
 from .topk import SCAN_QUERIES, TopK, WeightedTerms, few_rows
 
 CORPUS = ""  # stands for the corpus itself in the word statistics; no word is empty
@@ -73,21 +72,21 @@ def bm25(
 ) -> DataFrame:
     """Top ``k`` texts per query by BM25: query id, doc id, kept columns, score (4 digits), rank.
 
-    Two passes over the texts: word statistics restricted to the queries' words, then scoring inside the tasks.
+    Two passes over the texts: word statistics restricted to the queries' words, then scoring inside the tasks. For more
+    queries than can be sent to the tasks, the texts are indexed first and the queries meet the postings of their words.
     """
-    terms = query_terms(queries, query_id, query_text)
-    head, rows, asked = few_rows(terms, F.length("term") + 16, SCAN_TERMS), None, terms
-    if head is not None and pc.count_distinct(head.column("_query")).as_py() <= scan_queries:
-        average, rows = _weights_of_few(docs, text, head)
-    else:
-        average, asked = _weights_of_many(docs, text, terms)
     columns = [doc_id, *[c for c in keep if c != doc_id]]
+    terms = query_terms(queries, query_id, query_text)
+    head = few_rows(terms, F.length("term") + 16, SCAN_TERMS)
+    if head is None or pc.count_distinct(head.column("_query")).as_py() > scan_queries:
+        from .postings import bm25_stored, temporary_postings
+
+        index = temporary_postings(docs, doc_id=doc_id, text=text, keep=keep)
+        return bm25_stored(index, queries, k, query_id=query_id, query_text=query_text, keep=keep, k1=k1, b=b, score_name=score_name)
+    average, rows = _weights_of_few(docs, text, head)
     items = docs.select(F.col(doc_id).alias("_item"), words(F.col(text)).alias("_tokens"), *columns)
     saturation = (k1, b, average or 1.0)
-    job = TopK(
-        items, asked, ["_item", *columns], lambda q: WeightedTerms(q, saturation), k, query_id, score_name, head=rows
-    )
-    return job.run()
+    return TopK(items, terms, ["_item", *columns], lambda q: WeightedTerms(q, saturation), k, query_id, score_name, rows).run()
 
 
 def _weights_of_few(docs: DataFrame, text: str, head: pa.Table) -> tuple[float, pa.Table]:
@@ -114,18 +113,6 @@ def _weights_of_few(docs: DataFrame, text: str, head: pa.Table) -> tuple[float,
     return average, rows
 
 
-def _weights_of_many(docs: DataFrame, text: str, terms: DataFrame) -> tuple[float, DataFrame]:
-    """The same for any number of queries: their words meet the statistics in a join."""
-    spark = docs.sparkSession
-    vocabulary = terms.select("term").distinct().unionByName(spark.createDataFrame([(CORPUS,)], "term string"))
-    statistics = settled(word_statistics(docs, text, vocabulary), "word-statistics")
-    corpus = statistics.where(F.col("term") == CORPUS).first()
-    total, average = (corpus["texts"], corpus["total_words"] / corpus["texts"]) if corpus else (0, 1.0)
-    idf = F.log1p((F.lit(float(total)) - F.col("texts") + 0.5) / (F.col("texts") + 0.5))
-    weighted = terms.join(statistics, "term").select("_query", "term", idf.alias("weight"))
-    return average, _as_query_rows(weighted)
-
-
 def shared_terms(
     items: DataFrame,
     weights: DataFrame,
@@ -144,13 +131,15 @@ def shared_terms(
     """
     query_rows = _as_query_rows(weights.select(F.col(query_id).alias("_query"), "term", F.col("weight").cast("double")))
     head = few_rows(query_rows, F.size("_terms") * 32)
+    if head is None:
+        from .postings import shared_terms_stored, temporary_postings
+
+        index = temporary_postings(items, doc_id=item_id, terms=terms, keep=keep)
+        return shared_terms_stored(index, weights, k, query_id=query_id, keep=keep, score_name=score_name)
     rows = items.where(F.size(terms) > 0).select(
         F.col(item_id).alias("_item"), F.array_distinct(terms).alias("_tokens"), item_id, *keep
     )
-    job = TopK(
-        rows, query_rows, ["_item", item_id, *keep], lambda q: WeightedTerms(q, None), k, query_id, score_name, head=head
-    )
-    return job.run()
+    return TopK(rows, query_rows, ["_item", item_id, *keep], lambda q: WeightedTerms(q, None), k, query_id, score_name, head).run()
 
 
 def reciprocal_rank_fusion(

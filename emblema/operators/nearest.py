@@ -18,6 +18,7 @@ from ..constants import INDEX_FROM_ROWS, MAX_CELLS, ROWS_PER_CELL
 from ..functions.numbers import rounded
 from ..functions.vectors import unit
 from ..schema import VECTOR_COLUMNS
+from .pivots import nearest_by_pivots, nearest_by_probes
 from .topk import SCAN_QUERIES, Cosine, CosineInCells, TopK, dense, few_rows, usable_vectors
 
 ROWS_PER_FILE = 1_000_000
@@ -95,7 +96,10 @@ def nearest(
     items = rows.where(_usable(F.col(vector), dim)).select(
         F.col(item_id).alias("_item"), F.col(vector).alias("_vector"), *keep
     )
-    found = TopK(items, asked, ["_item", *keep], Cosine, k, query_id, score_name, head=head).run()
+    if head is None:
+        found = nearest_by_pivots(items, asked, ["_item", *keep], k, query_id, score_name)
+    else:
+        found = TopK(items, asked, ["_item", *keep], Cosine, k, query_id, score_name, head).run()
     return found.where("_passes").drop("_passes") if after else found
 
 
@@ -270,10 +274,10 @@ def nearest_in_cells(
     items = rows.select(
         F.col(item_id).alias("_item"), F.col(index.vector).alias("_vector"), F.col("cell").alias("_cell"), *keep
     )
-    job = TopK(
-        items, asked, ["_item", *keep], CosineInCells, k, query_id, score_name, cells=len(index.centres), head=head
-    )
-    found = job.run()
+    if head is None:
+        found = nearest_by_probes(items, asked, ["_item", *keep], k, query_id, score_name)
+    else:
+        found = TopK(items, asked, ["_item", *keep], CosineInCells, k, query_id, score_name, head).run()
     return found.where("_passes").drop("_passes") if after else found
 
 

@@ -1,14 +1,11 @@
 """Best k items for each query of a batch, scored inside Spark tasks.
 
-Two plans give the same rows:
+The batch of queries is checked to be small, shipped to the tasks, and the items are read once. A task keeps its best k
+per query while it streams, so it sends on at most k rows per query. Items are never shuffled. For any number of queries
+``pivots`` (vectors) and ``postings`` (words) give the same rows.
 
-* scan: the batch of queries is checked to be small, shipped to the tasks, and the items are read once. A task keeps
-  its best k per query while it streams, so it sends on at most k rows per query. Items are never shuffled.
-* grid: for any number of queries. Items and queries are cut into blocks of bounded size and every pair of blocks
-  is one group of a cogroup; a hot cell is just more blocks. Again a group sends on at most k rows per query.
-
-A last ranking per query merges what the tasks sent. Scores are rounded to four digits before ranking and the item
-id decides ties, so both plans and any partitioning agree.
+What the tasks sent is merged by query and bucket first where there are many tasks, and then by query. Scores are rounded
+to four digits before ranking and the item id decides ties, so all plans and any partitioning agree.
 """
 
 from __future__ import annotations
@@ -26,6 +23,8 @@ SCAN_QUERIES = 4096
 SCAN_BYTES = 64 << 20
 ITEMS_PER_BLOCK = 16_384
 QUERIES_PER_BLOCK = 2048
+#: From more tasks than this, a query's partial results are merged in two steps.
+MERGED_AT_ONCE = 64
 SCORES_AT_ONCE = 4_000_000
 DIGITS = 10_000.0
 
@@ -49,11 +48,12 @@ class BestSoFar:
 
     def offer(self, batch: pa.RecordBatch, scores: np.ndarray) -> None:
         """``scores`` has a row per item and a column per query; NaN means no match."""
-        scores = round_score(np.where(np.isnan(scores), -np.inf, scores))
-        if len(scores) > self.k:
-            kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            self.floor = np.maximum(self.floor, kth)
-        rows, queries = np.nonzero((scores >= self.floor) & (scores > -np.inf))
+        fresh = np.flatnonzero(np.isneginf(self.floor))
+        if len(fresh) and len(scores) > self.k:
+            known = np.where(np.isnan(scores[:, fresh]), -np.inf, scores[:, fresh])
+            self.floor[fresh] = np.partition(known, len(scores) - self.k, axis=0)[len(scores) - self.k]
+        # rounding can lift a score to the floor, so what is that close is looked at; NaN passes no comparison
+        rows, queries = np.nonzero((scores >= self.floor - 1.0 / DIGITS) & (scores > -np.inf))
         if len(rows) == 0:
             return
         kept, position = np.unique(rows, return_inverse=True)
@@ -61,7 +61,7 @@ class BestSoFar:
         offset = 0 if self.pool is None else self.pool.num_rows
         self.pool = fresh if self.pool is None else pa.concat_tables([self.pool, fresh])
         self.query = np.concatenate([self.query, queries])
-        self.score = np.concatenate([self.score, scores[rows, queries]])
+        self.score = np.concatenate([self.score, round_score(scores[rows, queries])])
         self.row = np.concatenate([self.row, position + offset])
         self._prune()
 
@@ -205,8 +205,7 @@ class TopK:
 
     ``items``   columns ``_item`` (unique id), the features the kernel reads, and the payload to hand back.
     ``queries`` columns ``_query`` (unique id) and the features the kernel reads.
-    ``cells``   number of cells if items have ``_cell`` and queries ``_probes``, the cells they look into.
-    ``head``    the queries already read, if they turned out to be few.
+    ``head``    the queries, already read.
     """
 
     items: DataFrame
@@ -215,9 +214,8 @@ class TopK:
     kernel: Callable[[pa.Table], object]
     k: int
     query_name: str
-    score_name: str = "score"
-    cells: int | None = None
-    head: pa.Table | None = None
+    score_name: str
+    head: pa.Table
 
     def _output(self) -> T.StructType:
         fields = [T.StructField(self.query_name, self.queries.schema["_query"].dataType)]
@@ -225,12 +223,14 @@ class TopK:
         return T.StructType([*fields, T.StructField("_score", T.DoubleType())])
 
     def run(self) -> DataFrame:
-        """Rows (query, payload, score, rank): by scan if the queries were found to be few, else by grid."""
-        found = self._grid() if self.head is None else self._scan(self.head)
-        order = Window.partitionBy(self.query_name).orderBy(F.col("_score").desc(), F.col("_item"))
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
+        """Rows (query, payload, score, rank)."""
+        found = self._scan(self.head)
+        many = self.items.rdd.getNumPartitions() > MERGED_AT_ONCE
+        for keys in ([self.query_name, F.pmod(F.xxhash64("_item"), F.lit(MERGED_AT_ONCE))], [self.query_name])[0 if many else 1 :]:
+            order = Window.partitionBy(*keys).orderBy(F.col("_score").desc(), F.col("_item"))
+            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
         wanted = [name for name in self.payload if name != "_item"]
-        return ranked.select(self.query_name, *wanted, F.col("_score").alias(self.score_name), "rank")
+        return found.select(self.query_name, *wanted, F.col("_score").alias(self.score_name), "rank")
 
     def _scan(self, queries: pa.Table) -> DataFrame:
         # the table itself is sent: a broadcast value must not need this package to be installed on the executors
@@ -245,37 +245,6 @@ class TopK:
 
         return self.items.mapInArrow(best_in_partition, output)
 
-    def _grid(self) -> DataFrame:
-        cell = F.col("_cell") if self.cells else F.lit(0)
-        query_blocks = -(-self.queries.count() // QUERIES_PER_BLOCK)
-        items = self.items.withColumn("_group", cell.cast("int"))
-        # one number per cell, so its length is the number of cells
-        sizes = {r["_group"]: r["count"] for r in items.groupBy("_group").count().collect()}
-        per_cell = [-(-sizes.get(group, 0) // ITEMS_PER_BLOCK) for group in range(self.cells or 1)]
-        blocks = F.get(F.array(*map(F.lit, per_cell)), F.col("_group"))
-        cut_items = items.withColumn("_row", F.pmod(F.xxhash64("_item"), blocks).cast("int")).withColumn(
-            "_column", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-        )
-        looks_into = F.explode("_probes") if self.cells else F.lit(0)
-        cut_queries = (
-            self.queries.withColumn("_column", F.pmod(F.xxhash64("_query"), F.lit(query_blocks)).cast("int"))
-            .withColumn("_group", looks_into)
-            .where(blocks > 0)
-            .withColumn("_row", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        )
-        kernel, payload, k, output = self.kernel, list(self.payload), self.k, self._output()
-        schema = _arrow_schema(output)
-
-        def best_in_block(items_table: pa.Table, queries_table: pa.Table) -> pa.Table:
-            if items_table.num_rows == 0 or queries_table.num_rows == 0:
-                return schema.empty_table()
-            batches = items_table.combine_chunks().to_batches(max_chunksize=10_000)
-            found = _best_of(kernel(queries_table), batches, k, payload, schema)
-            return schema.empty_table() if found is None else pa.Table.from_batches([found])
-
-        keys = ["_group", "_row", "_column"]
-        return cut_items.groupBy(keys).cogroup(cut_queries.groupBy(keys)).applyInArrow(best_in_block, output)
-
 
 def few_rows(queries: DataFrame, width: Column, rows: int = SCAN_QUERIES, size: int = SCAN_BYTES) -> pa.Table | None:
     """The queries if a count shows at most so many rows and bytes, else None. ``width`` is the size of a row."""
