@@ -256,17 +256,23 @@ def nearest_in_cells(
     prefilter: bool = True,
     score_name: str = "similarity_score",
     scan_queries: int = SCAN_QUERIES,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``k`` among the ``nprobe`` cells nearest to each query, by exact cosine. All cells probed = ``nearest``.
 
-    ``where`` filters the rows of the probed cells before the top k is taken, or after it, as in ``nearest``.
+    ``where`` filters the rows of the probed cells before the top k is taken, or after it, as in ``nearest``. ``changed``
+    are rows of the register, of unique keys, that have come or changed since the index was built.
     """
-    keep = _kept(index.rows, index.vector, keep)
+    held = index.rows
+    if changed is not None:
+        fresh = assign_cells(changed, index.centres, vector=index.vector).where(F.col("cell").isNotNull())
+        held = held.join(changed.select(item_id), item_id, "left_anti").unionByName(fresh.select(*held.columns))
+    keep = _kept(held, index.vector, keep)
     dim = index.centres.shape[1]
     usable = queries.where(_usable(F.col(query_vector), dim))
     probing = with_probes(usable, index.centres, nprobe, query_vector=query_vector)
     asked, _, head = _query_side(probing, query_id, query_vector, scan_queries, dim, "_probes")
-    rows, keep, after = _filtered(index.rows, keep, where, prefilter)
+    rows, keep, after = _filtered(held, keep, where, prefilter)
     if nprobe < len(index.centres):
         # at most one number per cell
         probed = asked.select(F.explode("_probes").alias("cell")).distinct().collect()
@@ -281,15 +287,21 @@ def nearest_in_cells(
     return found.where("_passes").drop("_passes") if after else found
 
 
-def search_vectors(
-    register: DataFrame, queries: DataFrame, k: int, *, index: CellIndex | None = None, nprobe: int = 32, **names
-) -> DataFrame:
-    """Through the index if there is one, else exact over the register."""
+def search_vectors(register: DataFrame, queries: DataFrame, k: int, *, index=None, nprobe: int = 32, **names) -> DataFrame:
+    """Through the index if there is one, a ``CellIndex`` or a ``celltree.CellTree``, else exact over the register.
+
+    An index answers from the rows it holds. A ``CellTree`` is given changed rows by ``upsert_rows``; a ``CellIndex`` is
+    handed them as ``changed`` with every search, keys of which hide the rows it holds.
+    """
     if index is None:
+        names.pop("changed", None)
         return nearest(register, queries, k, **names)
     names.pop("vector", None)
-    if (dim := names.pop("dim", None)) not in (None, index.centres.shape[1]):
-        raise ValueError(f"the index holds vectors of {index.centres.shape[1]} numbers, not of {dim}")
+    dim, held = names.pop("dim", None), index.centres.shape[1] if isinstance(index, CellIndex) else index.dim
+    if dim not in (None, held):
+        raise ValueError(f"the index holds vectors of {held} numbers, not of {dim}")
+    if not isinstance(index, CellIndex):
+        return index.search(queries, k, nprobe, **names)
     return nearest_in_cells(index, queries, k, nprobe, **names)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import RRF_K, SEARCH_LIMIT
+from ..operators.celltree import CellTree
 from ..operators.filters import first_rows, register_condition
 from ..operators.lexical import bm25, reciprocal_rank_fusion
 from ..operators.nearest import CellIndex, nearest, search_vectors
@@ -29,13 +30,16 @@ def hybrid_search(
     *,
     vector: str = "text_vector",
     prefilter: bool = True,
-    index: CellIndex | None = None,
+    index: CellIndex | CellTree | None = None,
     nprobe: int = 32,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
     """Register rows without vectors.
 
     With a vector: the ``limit`` nearest by cosine that pass the filters, with ``similarity_score``; the text is then
-    not matched. With an ``index`` only the ``nprobe`` nearest of its cells are read. Without a vector: rows that pass the filters, the name containing the text if there is one.
+    not matched. With an ``index`` the ``nprobe`` nearest of its cells are read, and not the register: rows that came or
+    changed since it was built are put in by ``celltree.upsert_rows``, or handed over as ``changed``. Without a vector: rows
+    that pass the filters, the name containing the text if there is one.
     """
     filters = dict(nice_classes=nice_classes, status=status, country=country, filing_date_after=filing_date_after)
     if query_vector is not None and len(query_vector) > 0:
@@ -44,7 +48,7 @@ def hybrid_search(
         )
         found = search_vectors(
             register, query, limit, index=index, nprobe=nprobe, vector=vector,
-            where=register_condition(**filters), prefilter=prefilter,
+            where=register_condition(**filters), prefilter=prefilter, **({} if changed is None else {"changed": changed}),
         )
         return found.drop("query_id", "rank").orderBy(F.col("similarity_score").desc(), "id")
     condition = register_condition(query_text=query_text, **filters)

@@ -484,3 +484,23 @@ ORACLE["hybrid_search_in_cells"] = ORACLE["hybrid_search_vector_and_filter"]
 ORACLE |= {name: ORACLE["bm25_search"] for name in ("bm25_stored", "bm25_stored_segments", "bm25_stored_merged")}
 ORACLE |= {"word_statistics_stored": ORACLE["word_statistics"], "rrf_fusion_stored": ORACLE["rrf_fusion"], "nice_recommend_stored": ORACLE["nice_recommend"]}
 ORACLE |= {f"legal_stored_{mode}": ORACLE[f"legal_retrieval_{mode}"] for mode in ("naive", "local", "global", "hybrid")}
+ORACLE["knn_after_upsert"] = ORACLE["knn_cosine_topk"]
+ORACLE["knn_tree"] = f"""WITH {ASKED}, each AS (
+  SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+tops AS (SELECT label AS top, list(m ORDER BY d) AS c FROM (SELECT label, d, avg(x) AS m FROM each GROUP BY ALL) GROUP BY label),
+leaves AS (SELECT label AS top, label * 4 + part AS leaf, list(m ORDER BY d) AS c
+  FROM (SELECT label, vec_id % 4 AS part, d, avg(x) AS m FROM each GROUP BY ALL) GROUP BY label, part),
+topped AS (SELECT * FROM (
+  SELECT vec_id, label, embedding, top, row_number() OVER (PARTITION BY vec_id ORDER BY round({COSINE.format(a='embedding', b='c')}, 4) DESC, top) AS n
+  FROM embeddings, tops) WHERE n = 1),
+placed AS (SELECT * FROM (
+  SELECT vec_id, label, embedding, leaf, row_number() OVER (PARTITION BY vec_id ORDER BY round({COSINE.format(a='embedding', b='c')}, 4) DESC, leaf) AS m
+  FROM topped JOIN leaves USING (top)) WHERE m = 1),
+beam AS (SELECT * FROM (
+  SELECT query_id, qv, top, row_number() OVER (PARTITION BY query_id ORDER BY round({COSINE.format(a='c', b='qv')}, 4) DESC, top) AS n
+  FROM asked, tops) WHERE n <= 3),
+probes AS (SELECT * FROM (
+  SELECT query_id, qv, leaf, row_number() OVER (PARTITION BY query_id ORDER BY round({COSINE.format(a='c', b='qv')}, 4) DESC, leaf) AS m
+  FROM beam JOIN leaves USING (top)) WHERE m <= 6),
+scored AS (SELECT query_id, vec_id, label, round({COSINE.format(a='embedding', b='qv')}, 4) AS similarity_score FROM placed JOIN probes USING (leaf))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, vec_id) AS INT) AS rank FROM scored) WHERE rank <= 10"""

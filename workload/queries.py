@@ -13,7 +13,7 @@ from emblema.functions.keys import cache_key, encoder_text
 from emblema.functions.letters import format_letter
 from emblema.functions.names import band, letter_similarity, name_similarity, sound_key, transliterate
 from emblema.functions.text import calendar_date, field_list, iso_date, status_from_wording
-from emblema.operators import filters, lexical, nearest, postings, upsert
+from emblema.operators import celltree, filters, lexical, nearest, postings, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
 from emblema.operators.encode import embed_with_cache as cached_vectors
 from emblema.operators.pages import stitch_pages
@@ -210,6 +210,56 @@ def knn_cells_recall(spark, sf_dir):
     return nearest.recall(_in_cells(spark, sf_dir, 2), knn_cosine_topk(spark, sf_dir), item_id="vec_id")
 
 
+def _mean_centres(spark, sf_dir):
+    """Centres that SQL can compute, too: the mean of each label, and under it the means of its four parts by id."""
+    each = views.table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 4).alias("part"), F.posexplode("embedding").alias("d", "x"))
+
+    def means(*keys):
+        averages = each.groupBy(*keys, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        return averages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c"))
+
+    tops = [r["c"] for r in means("label").select(F.col("c.m").alias("c"), "label").orderBy("label").collect()]  # one for each label
+    leaf = (F.col("label") * 4 + F.col("part")).cast("int")
+    return tops, means("label", "part").select(F.col("label").cast("int").alias("top"), leaf.alias("leaf"), F.col("c.m").alias("centre"))
+
+
+_TREE = dict(item_id="vec_id", vector="embedding")
+
+
+@query
+def knn_tree(spark, sf_dir):
+    """Two levels of given centres: three cells of the first level and six leaves are probed."""
+    tree = celltree.build_tree(views.table(spark, sf_dir, "embeddings"), fresh_path(spark, "tree"), centres=_mean_centres(spark, sf_dir), **_TREE)
+    return celltree.search_tree(tree, views.vector_queries(spark, sf_dir), 10, 6, beam=3, keep=["vec_id", "label"])
+
+
+def _kept_up_tree(spark, sf_dir):
+    """An index built while some vectors were others and some were missing, brought up to date since."""
+    marks = views.table(spark, sf_dir, "embeddings")
+    stale = marks.where("label <> 7").withColumn("embedding", F.when(F.col("label") % 2 == 1, F.reverse("embedding")).otherwise(F.col("embedding")))
+    gone = marks.where("label = 2").withColumn("vec_id", -F.col("vec_id") - 1)
+    tree = celltree.build_tree(stale.unionByName(gone), fresh_path(spark, "tree"), **_TREE)
+    tree = celltree.upsert_rows(tree, marks.where("label % 2 = 1"))
+    return celltree.remove_rows(tree, gone)
+
+
+@query
+def knn_after_upsert(spark, sf_dir):
+    tree = _kept_up_tree(spark, sf_dir)
+    return celltree.search_tree(tree, views.vector_queries(spark, sf_dir), 10, tree.leaf_count, keep=["vec_id", "label"])
+
+
+@query
+def knn_tree_recall(spark, sf_dir):
+    """Recall beside the share of rows read, two thirds of the leaves of a trained tree probed."""
+    marks, asked = views.table(spark, sf_dir, "embeddings"), views.vector_queries(spark, sf_dir)
+    tree = celltree.build_tree(marks, fresh_path(spark, "tree"), **_TREE)
+    nprobe = -(-tree.leaf_count * 2 // 3)
+    found = celltree.search_tree(tree, asked, 10, nprobe, keep=["vec_id"])
+    recall = nearest.recall(found, nearest.nearest(marks, asked, 10, **_VECTORS), item_id="vec_id")
+    return recall.join(celltree.share_read(tree, asked, nprobe), "query_id")
+
+
 @query
 def vector_norms(spark, sf_dir):
     from emblema.functions.vectors import dot, norm, unit
