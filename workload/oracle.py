@@ -504,3 +504,15 @@ probes AS (SELECT * FROM (
   FROM beam JOIN leaves USING (top)) WHERE m <= 6),
 scored AS (SELECT query_id, vec_id, label, round({COSINE.format(a='embedding', b='qv')}, 4) AS similarity_score FROM placed JOIN probes USING (leaf))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, vec_id) AS INT) AS rank FROM scored) WHERE rank <= 10"""
+ORACLE["bulletin_items_nested"] = f"""SELECT p_partkey AS page_id, 0::BIGINT AS position, {views.NUMBER} || ' ' || p_name AS title, {views.NUMBER} AS application_number,
+  p_name AS mark_name, 'https://euipo.europa.eu/trademarks/' || {views.NUMBER} AS url, {views.PAGE_ISO} AS bulletin_date FROM part
+UNION ALL SELECT p_partkey, 1, {views.SECOND_NUMBER} || ' ' || lower(p_type), {views.SECOND_NUMBER}, lower(p_type),
+  'https://euipo.europa.eu/trademarks/' || {views.SECOND_NUMBER}, NULL FROM part"""
+ORACLE["bulletin_links_nested"] = f"""SELECT p_partkey AS page_id, 0::BIGINT AS position, {views.NUMBER} || ' ' || p_name AS title, 'https://euipo.europa.eu/trademarks/' || {views.NUMBER} AS url FROM part
+UNION ALL SELECT p_partkey, 1, {views.SECOND_NUMBER} || ' ' || lower(p_type), 'https://euipo.europa.eu/trademarks/' || {views.SECOND_NUMBER} FROM part
+UNION ALL SELECT p_partkey, 2, 'More', 'https://euipo.europa.eu/more' FROM part"""
+ORACLE["similar_names"] = f"""WITH {REGISTER}, {CANDIDATES},
+asked AS (SELECT query_id, candidate_name, {sound_key('candidate_name')} AS a FROM cand),
+marks AS (SELECT id, mark_name, {sound_key('mark_name')} AS b FROM register),
+pairs AS (SELECT query_id, candidate_name, id, mark_name, {sound('a', 'b')} AS s FROM asked, marks)
+SELECT query_id, candidate_name, id, mark_name, round(s, 4) AS sound FROM pairs WHERE s >= 0.6 - 1e-12"""

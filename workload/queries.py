@@ -13,7 +13,7 @@ from emblema.functions.keys import cache_key, encoder_text
 from emblema.functions.letters import format_letter
 from emblema.functions.names import band, letter_similarity, name_similarity, sound_key, transliterate
 from emblema.functions.text import calendar_date, field_list, iso_date, status_from_wording
-from emblema.operators import celltree, filters, lexical, nearest, postings, upsert
+from emblema.operators import celltree, filters, lexical, nearest, postings, soundalike, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
 from emblema.operators.encode import embed_with_cache as cached_vectors
 from emblema.operators.pages import stitch_pages
@@ -357,6 +357,12 @@ def sound_similarity(spark, sf_dir):
     )
 
 
+@query
+def similar_names(spark, sf_dir):
+    """Marks that sound like a candidate, wherever their vectors lie."""
+    return soundalike.similar_names(views.register(spark, sf_dir), views.candidates(spark, sf_dir), 0.6)
+
+
 @query
 def transliterate_names(spark, sf_dir):
     name = F.col("mark_name")
@@ -570,6 +576,17 @@ def bulletin_items(spark, sf_dir):
     return bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir)).drop("scraped_at", "source", "id")
 
 
+@query
+def bulletin_items_nested(spark, sf_dir):
+    """Items within items: each ends at its own closing tag."""
+    return bulletin.bulletin_items(views.nested_pages(spark, sf_dir)).drop("scraped_at", "source", "id")
+
+
+@query
+def bulletin_links_nested(spark, sf_dir):
+    return bulletin.bulletin_links(views.nested_pages(spark, sf_dir)).drop("scraped_at")
+
+
 @query
 def bulletin_items_with_records(spark, sf_dir):
     items = bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir))

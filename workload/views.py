@@ -73,6 +73,13 @@ BULLETIN_HTML = (
     "'</ul><footer><a href=\"/about\">About</a></footer></body></html>'"
 )
 
+# An item within an item: the outer one's date stands after the inner one.
+NESTED_HTML = (
+    f"'<ul><li class=\"bulletin-item\"><a href=\"/trademarks/' || {NUMBER} || '\">' || {NUMBER} || ' ' || p_name || '</a>"
+    f"<ul><li class=\"bulletin-item sub\"><a href=\"/trademarks/' || {SECOND_NUMBER} || '\">' || {SECOND_NUMBER} || ' ' || lower(p_type) || '</a></li></ul>"
+    f"<time datetime=\"' || {PAGE_ISO} || '\">day</time><a href=\"/more\">More</a></li></ul><p>end</p>'"
+)
+
 LETTER_NUMBER = "lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')"
 ORDER_DATE = (
     f"{two_digits('day(o_orderdate)')} || '/' || {two_digits('month(o_orderdate)')} || '/' || CAST(year(o_orderdate) AS VARCHAR(4))"
@@ -192,6 +199,10 @@ def bulletin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(BULLETIN_HTML).alias("html"))
 
 
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(NESTED_HTML).alias("html"))
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(LETTER).alias("text"))
 
