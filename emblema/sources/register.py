@@ -51,6 +51,27 @@ def current_register(
     return base.join(changes.select(key).distinct(), key, "left_anti").select(*base.columns).unionByName(latest)
 
 
+def index_numbers(register: DataFrame, path: str, buckets: int, key: str = KEY) -> None:
+    """Stores the register's numbers by bucket, so that a batch looks into the buckets of its own numbers only. Built once
+    for each version of the register."""
+    numbers = register.select(key).where(F.col(key).isNotNull()).withColumn("bucket", _bucket(key, buckets))
+    numbers.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/numbers")
+    register.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def known_numbers(spark: SparkSession, path: str, numbers: DataFrame, key: str = KEY) -> DataFrame:
+    """Those of ``numbers`` that the index holds. Reads the buckets they fall into."""
+    size = spark.read.parquet(f"{path}/size").first()["buckets"]
+    asked = numbers.select(key).distinct().withColumn("bucket", _bucket(key, size))
+    touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most the number of buckets
+    held = spark.read.schema(f"{key} string, bucket int").parquet(f"{path}/numbers").where(F.col("bucket").isin(touched))
+    return asked.join(held, [key, "bucket"], "left_semi").select(key)
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
 def compact(spark: SparkSession, base_path: str, changes_path: str, new_base_path: str, key: str = KEY) -> DataFrame:
     """Writes base and changes as a new base in a folder of its own and opens it."""
     merged = current_register(open_register(spark, base_path), read_changes(spark, changes_path), key)

@@ -516,3 +516,38 @@ asked AS (SELECT query_id, candidate_name, {sound_key('candidate_name')} AS a FR
 marks AS (SELECT id, mark_name, {sound_key('mark_name')} AS b FROM register),
 pairs AS (SELECT query_id, candidate_name, id, mark_name, {sound('a', 'b')} AS s FROM asked, marks)
 SELECT query_id, candidate_name, id, mark_name, round(s, 4) AS sound FROM pairs WHERE s >= 0.6 - 1e-12"""
+ORACLE["corpus_from_files"] = r"""SELECT CASE WHEN lang = 'en' THEN '' ELSE lang || '/' END || doc_id || '.txt' AS source, replace(text, chr(13), '') AS text FROM documents
+WHERE regexp_matches(text, '[^\s\x{85}\x{a0}]')"""
+ORACLE["letters_as_files"] = ORACLE["stream_of_letters"] = ORACLE["letter_format_letters"]
+ORACLE["ingest_landed_files"] = ORACLE["ingest_urls"]
+ORACLE["export_json"] = f"""WITH {REGISTER} SELECT id, mark_name, array_to_string(nice_classes, ',') AS nice_classes, filing_date, nullif(status, 'registered') AS status FROM register"""
+ORACLE["export_csv"] = f"""WITH {REGISTER} SELECT id, mark_name, '[' || array_to_string(nice_classes, ',') || ']' AS nice_classes, filing_date, status FROM register"""
+ORACLE["embed_marks"] = f"""WITH {REGISTER}, t AS (SELECT id, mark_name, 'passage: ' || {ENCODER_TEXT} AS t FROM register),
+e AS (SELECT t, {ngram_vector("t")} AS v FROM (SELECT DISTINCT t FROM t)),
+x AS (SELECT id, mark_name, unnest(range(0, 64)) AS dim, unnest(v) AS x FROM t JOIN e USING (t))
+SELECT id, mark_name, dim, round(x::DOUBLE, 4) AS x FROM x WHERE x <> 0"""
+ORACLE["embed_one"] = f"""WITH {REGISTER}, t AS (SELECT 'query: ' || mark_name AS t FROM register ORDER BY length(mark_name) DESC, mark_name LIMIT 1),
+x AS (SELECT unnest(range(0, 64)) AS dim, unnest({ngram_vector("t")}) AS x FROM t)
+SELECT dim, round(x::DOUBLE, 4) AS x FROM x WHERE x <> 0"""
+_CLASS_TEXT = "array_to_string(list_transform(list_sort({c}), lambda c: 'Class ' || c), ', ')"
+ORACLE["items_to_clearance"] = f"""WITH {REGISTER}, {PARSED}, {items()},
+numbered AS (SELECT application_number AS item, min(mark_name) AS title FROM items GROUP BY application_number),
+details AS (SELECT application_number AS item, mark_name AS name, mark_name || ' | ' || {_CLASS_TEXT.format(c="list_transform(string_split(nice_classes, ','), lambda c: CAST(c AS INT))")} AS t
+  FROM parsed WHERE reject_reason IS NULL AND applicant_country = 'FR' AND application_number IN (SELECT item FROM numbered)),
+listed AS (SELECT application_number AS item, mark_name AS name, {ENCODER_TEXT} AS t FROM register
+  WHERE application_number IN (SELECT item FROM numbered) AND application_number NOT IN (SELECT item FROM details)),
+cands AS (SELECT *, 'detail' AS origin FROM details UNION ALL SELECT *, 'register' FROM listed
+  UNION ALL SELECT item, title, title, 'item' FROM numbered WHERE item NOT IN (SELECT item FROM details) AND item NOT IN (SELECT item FROM listed)),
+cv AS (SELECT t, {ngram_vector("'query: ' || t")} AS v, row_number() OVER () AS n FROM (SELECT DISTINCT t FROM cands)),
+marks AS (SELECT id, application_number, mark_name, {ENCODER_TEXT} AS t FROM register WHERE status = 'registered'),
+mv AS (SELECT t, {ngram_vector("'passage: ' || t")} AS v FROM (SELECT DISTINCT t FROM marks)),
+texts AS (SELECT cv.t AS ct, mv.t AS mt, round({COSINE.format(a='cv.v', b='mv.v')}, 4) AS s FROM cv, mv),
+first AS (SELECT * FROM (
+  SELECT item, origin, name AS candidate_name, id, application_number, mark_name, s, row_number() OVER (PARTITION BY item ORDER BY s DESC, id) AS n
+  FROM cands JOIN texts ON ct = cands.t JOIN marks ON mt = marks.t) WHERE n <= 4),
+best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY n) AS INT) AS rank FROM first WHERE item <> application_number) WHERE rank <= 3),
+keyed AS (SELECT *, {sound_key('candidate_name')} AS a, {sound_key('mark_name')} AS b FROM best),
+compared AS (SELECT *, {sound('a', 'b')} AS snd FROM keyed),
+scored AS (SELECT *, 0.5::DOUBLE * s + 0.5::DOUBLE * snd AS o FROM compared)
+SELECT item, origin, candidate_name, rank, application_number, mark_name, s AS semantic, round(snd, 4) AS sound, round(o, 4) AS overall,
+  CASE WHEN o > 0.80::DOUBLE THEN 'HIGH' WHEN o > 0.65::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM scored"""

@@ -15,11 +15,14 @@ from emblema.functions.names import band, letter_similarity, name_similarity, so
 from emblema.functions.text import calendar_date, field_list, iso_date, status_from_wording
 from emblema.operators import celltree, filters, lexical, nearest, postings, soundalike, upsert
 from emblema.operators.encode import cache_plan, embed_column, fill_cache, ngram_encoder
+from emblema.operators.encode import embed_marks as marks_with_vectors
+from emblema.operators.encode import embed_one as encode_one
 from emblema.operators.encode import embed_with_cache as cached_vectors
 from emblema.operators.pages import stitch_pages
 from emblema.plans import bulletin, clearance, ingest, legal, office_action, recommend, search, stats
 from emblema.schema import conform
 from emblema.session import fresh_path, settled
+from emblema.sources import textfiles, texts
 from emblema.sources.register import append_records, create_register, current_register, open_register, read_changes
 from emblema.streaming import watch
 
@@ -594,6 +597,17 @@ def bulletin_items_with_records(spark, sf_dir):
     return joined.select("page_id", "position", "application_number", "record_id", "registered_name", "status")
 
 
+@query
+def items_to_clearance(spark, sf_dir):
+    """Bulletin items, the detail pages of their numbers, the register and the clearance of each, in one plan."""
+    register = views.register(spark, sf_dir)
+    watched = settled(marks_with_vectors(register.where("status = 'registered'"), ngram_encoder(64)), "watched")
+    details = ingest.accepted(ingest.parse_detail_pages(views.detail_pages(spark, sf_dir).where("markdown LIKE '%Origin: FR%'")))
+    items = bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir))
+    found = watch.clear_items(items, details, register, watched, ngram_encoder(64), k=3)
+    return found.select("item", "origin", "candidate_name", "rank", "application_number", "mark_name", "semantic", "sound", "overall", "risk")
+
+
 @query
 def first_crawled(spark, sf_dir):
     items = bulletin.first_crawled(bulletin.bulletin_items(views.bulletin_pages(spark, sf_dir)))
@@ -702,6 +716,68 @@ for _mode in legal.MODES:
     QUERIES[f"legal_stored_{_mode}"] = _retrieve_stored(_mode)
 
 
+# --- files ------------------------------------------------------------------------------------------------
+@query
+def corpus_from_files(spark, sf_dir):
+    """A file for each document, some in sub-folders, written and read back as a corpus."""
+    home = fresh_path(spark, "corpus")
+    docs = views.text_table(spark, sf_dir, "documents")
+    name = F.concat(F.when(F.col("lang") == "en", "").otherwise(F.concat("lang", F.lit("/"))), F.col("doc_id").cast("string"), F.lit(".txt"))
+    textfiles.write_texts(docs.select(name.alias("name"), F.translate("text", "\r", "").alias("text")), home)
+    return texts.read_corpus(spark, home)
+
+
+@query
+def letters_as_files(spark, sf_dir):
+    """Letters written as Markdown files, a file each, and read back."""
+    home = fresh_path(spark, "letters")
+    texts.write_letter_files(views.letters(spark, sf_dir), home)
+    read = texts.read_letters(spark, home, "*.md")
+    return read.select(F.regexp_extract("doc_id", r"([0-9]+)\.md$", 1).cast("bigint").alias("doc_id"), F.col("text").alias("markdown"))
+
+
+@query
+def stream_of_letters(spark, sf_dir):
+    """Letters landed as files and read by a stream that reads each once."""
+    home = fresh_path(spark, "letters")
+    letters = views.letters(spark, sf_dir).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    textfiles.write_texts(letters, f"{home}/in")
+    stream = textfiles.stream_texts(spark, f"{home}/in")
+    number = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("bigint")
+    formatted = office_action.formatted_letters(stream.select(number.alias("doc_id"), "text"))
+    run = formatted.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id bigint, markdown string").parquet(f"{home}/out")
+
+
+@query
+def ingest_landed_files(spark, sf_dir):
+    """Pages that landed twice, the older copy with another name, through the library's reader: the latest is read."""
+    home = fresh_path(spark, "landed")
+    pages = views.detail_pages(spark, sf_dir)
+    pages.withColumn("landed_at", F.to_timestamp(F.lit("2026-04-20 00:00:00"))).write.parquet(home)
+    stale = pages.select("url", F.replace("markdown", F.lit("ark:"), F.lit("ark: old ")).alias("markdown"))
+    stale.withColumn("landed_at", F.to_timestamp(F.lit("2026-04-19 00:00:00"))).write.mode("append").parquet(home)
+    urls = views.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 100).alias("p_partkey"))
+    parsed = ingest.ingest_urls(urls.select(F.expr(views.PAGE_URL).alias("url")), texts.read_landed_pages(spark, home))
+    return parsed.select("raw_url", "application_number", "mark_name", "reject_reason", "requests")
+
+
+@query
+def export_json(spark, sf_dir):
+    home = fresh_path(spark, "json")
+    texts.write_json(views.register(spark, sf_dir).select("id", "mark_name", "nice_classes", "filing_date", F.expr("nullif(status, 'registered')").alias("status")), home)
+    read = spark.read.schema("id string, mark_name string, nice_classes array<int>, filing_date string, status string").json(home)
+    return read.withColumn("nice_classes", F.array_join("nice_classes", ","))
+
+
+@query
+def export_csv(spark, sf_dir):
+    home = fresh_path(spark, "csv")
+    texts.write_csv(views.register(spark, sf_dir).select("id", "mark_name", "nice_classes", "filing_date", "status"), home)
+    return spark.read.schema("id string, mark_name string, nice_classes string, filing_date string, status string").option("header", "true").csv(home)
+
+
 # --- encoding ---------------------------------------------------------------------------------------------
 @query
 def labelled_numbers(spark, sf_dir):
@@ -753,6 +829,21 @@ def _numbers(marks: DataFrame) -> DataFrame:
     return each.select("id", "mark_name", F.col("dim").cast("bigint").alias("dim"), rounded(F.col("x").cast("double"), 4).alias("x"))
 
 
+@query
+def embed_marks(spark, sf_dir):
+    """Every mark with its classes, as the register stores its vector."""
+    return _numbers(marks_with_vectors(views.register(spark, sf_dir), ngram_encoder(64)))
+
+
+@query
+def embed_one(spark, sf_dir):
+    """The longest mark name as a query, alone."""
+    longest = views.register(spark, sf_dir).orderBy(F.length("mark_name").desc(), "mark_name").select("mark_name").first()[0]
+    one = encode_one(spark, longest, ngram_encoder(64), is_query=True)
+    each = one.select(F.posexplode("vector").alias("dim", "x")).where("x <> 0")
+    return each.select(F.col("dim").cast("bigint").alias("dim"), rounded(F.col("x").cast("double"), 4).alias("x"))
+
+
 @query
 def ingest_with_vectors(spark, sf_dir):
     """Detail pages read, encoded through the cache and put into a register that holds half of their numbers."""
