@@ -26,8 +26,8 @@ from .common import only
 PARAGRAPH = r"[^.\n]{1,160}[.\n]*|[.\n]+"
 #: Cells for each of the three hashes, digests that a small sketch is meant for, and how much larger each retry is.
 CELLS, LOAD, LARGER = 6, 8, (1, 4, 16)
-#: Documents that are put in order by one task.
-ORDERED = 2_000
+#: Documents that are put in order by one task, and quantiles of the ids that ranges begin at.
+ORDERED, QUANTILES = 2_000, 256
 
 
 def bound(value: Column, use) -> Column:
@@ -72,16 +72,17 @@ def subtracted(a: Column, b: Column) -> Column:
 def peeled(cells_of: Column, cells: int) -> Column:
     """``ok, found``: whether all cells came out empty, and how many digests only one of the two sketches has.
 
-    A round takes every cell that holds one digest and removes it from its three cells.
+    A round takes every cell that holds one digest and removes it from its three cells. A mixed cell whose checksum holds
+    by chance puts a false digest into two others and is found again there, so a digest found twice is a failure too.
     """
-    start = F.struct(cells_of.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("done"))
+    start = F.struct(cells_of.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("done"))
 
     def pure(state: Column) -> Column:
         return F.array_distinct(F.filter(state["cells"], lambda c: (c != 0) & (c == checked(F.shiftrightunsigned(c, 20)))))
 
     def removed(state: Column, taken: Column) -> Column:
         return F.when(F.size(taken) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done"))).otherwise(
-            F.struct(subtracted(state["cells"], sketch(taken, cells)).alias("cells"), (state["found"] + F.size(taken)).alias("found"), F.lit(False).alias("done"))
+            F.struct(subtracted(state["cells"], sketch(taken, cells)).alias("cells"), F.concat(state["found"], taken).alias("found"), F.lit(False).alias("done"))
         )
 
     def step(state: Column) -> Column:
@@ -89,7 +90,8 @@ def peeled(cells_of: Column, cells: int) -> Column:
 
     rounds = F.array(*[F.lit(k) for k in range(24)])
     ended = F.aggregate(rounds, start, lambda state, _: step(state))
-    return bound(ended, lambda e: F.struct(F.forall(e["cells"], lambda c: c == 0).alias("ok"), e["found"].alias("found")))
+    once = lambda found: F.size(F.array_distinct(found)) == F.size(found)
+    return bound(ended, lambda e: F.struct((F.forall(e["cells"], lambda c: c == 0) & once(e["found"])).alias("ok"), F.size(e["found"]).alias("found")))
 
 
 def ranges(keys: Column, groups: Column, seed: str) -> Column:
@@ -143,18 +145,41 @@ def fingerprint(keys: Column) -> Column:
     return F.array_join(F.transform(sketch(keys, CELLS), lambda c: F.lower(F.hex(c))), "-")
 
 
+def with_part(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds ``part``: ranges of about ``ORDERED`` documents, rising with the id, null ids lowest.
+
+    Ranges begin at quantiles of the ids and are cut evenly between their own least and largest id; rows of one id that
+    fills a range, and those without an id, are cut by the hash of their text, which also orders them. The driver gets the
+    quantiles and a row for each range, ``2 * QUANTILES`` at most.
+    """
+    found = ids.agg(F.percentile_approx("doc_id", [k / QUANTILES for k in range(1, QUANTILES)], 10_000).alias("q")).first()["q"] or []
+    often = {x for x, y in zip(found, found[1:], strict=False) if x == y}  # such an id is a range of its own
+    begins = F.array(*[F.lit(x).cast("bigint") for x in sorted({*found, *(x + 1 for x in often if x < (1 << 63) - 1)})]).cast("array<bigint>")
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(begins, lambda x: x <= F.col("doc_id"))))
+    counted = ids.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()
+    first, ranges = 0, {}
+    for row in sorted(counted, key=lambda r: r["at"]):
+        parts = -(-row["n"] // ORDERED)
+        ranges[row["at"]] = (first, parts, float(row["low"] or 0), float(row["high"] or 0), row["low"] == row["high"])
+        first += parts
+    table = [ranges.get(k, (0, 1, 0.0, 0.0, True)) for k in range(-1, max(ranges, default=-1) + 1)]
+    names = ("first", "parts", "low", "high", "one_id")
+    bounds = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in table]), F.col("_at") + 2)
+    place = F.col("_range")
+    by_text = (F.col("text_key") / F.lit(2.0**64) + 0.5) * place["parts"]
+    by_id = (F.col("doc_id").cast("double") - place["low"]) / (place["high"] - place["low"] + 1) * place["parts"]
+    inside = F.least(F.floor(F.when(place["one_id"], by_text).otherwise(by_id)), place["parts"].cast("bigint") - 1)
+    return rows.withColumn("_at", at).withColumn("_range", bounds).withColumn("part", place["first"] + inside).drop("_at", "_range")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, keys, next_text, next_keys``: each document and the next one by descending id, the first after the last.
 
-    Ids are cut into ranges of about ``ORDERED`` documents. The top document of a range is copied to the range above it,
-    so each range finds its successors on its own, and texts are shuffled once.
+    The top document of a range is copied to the range above it, so each range finds its successors on its own, and texts
+    are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = int(size["low"] or 0), int(size["high"] or 0)
-    width = max(1, -(-(high - low + 1) // max(1, -(-size["n"] // ORDERED))))
-    part = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("bigint")
-    rows = rows.withColumn("part", part)
+    rows = with_part(rows, docs.select(F.col("doc_id").cast("bigint").alias("doc_id")))
     # a row for each range, one in ORDERED documents
     tops = rows.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text_key")).alias("top"))
     order = W.orderBy(F.col("part").desc())

@@ -218,6 +218,21 @@ def test_fingerprints_against_brute_force(docs, empty):
     assert fingerprints.compared(docs).count() == docs.count() and fingerprints.compared(empty).count() == 0
 
 
+def test_fingerprint_ranges_of_uneven_equal_and_null_ids(spark):
+    """One far id, one id on a third of all rows and rows without an id: no range is much larger than meant, and every
+    document is followed by the next one in the whole order."""
+    ids = [*range(-9000, 0), 1 << 62, *[7] * 6000, *[None] * 6000, -(1 << 63), (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, f"text {k}.") for k, i in enumerate(ids)], "doc_id bigint, text string")
+    parts = fingerprints.with_part(docs.selectExpr("*", "xxhash64(text) AS text_key"), docs.select("doc_id"))
+    assert parts.where("part IS NULL").count() == 0
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 1.2 * fingerprints.ORDERED
+    order = parts.orderBy(parts.doc_id.desc_nulls_last(), parts.text_key.desc()).collect()
+    assert [r.part for r in order] == sorted((r.part for r in order), reverse=True)
+    following = {r.text: r.next_text for r in fingerprints.with_next(docs).collect()}
+    assert following == {a.text: b.text for a, b in zip(order, [*order[1:], order[0]])}
+
+
 def test_search_against_brute_force(docs, empty):
     held = texts_of(docs)
     bags = [Counter(search.words_of(t)) for _, t in held]
