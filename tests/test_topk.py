@@ -252,3 +252,64 @@ def test_fused_search(spark, tables):
     queries = queries.where("query_id < 3").withColumn("query_text", F.lit("name 17"))
     rows = fused_search(register, queries, 5, depth=20, text="name").collect()
     assert {r["query_id"] for r in rows} == {0, 1, 2} and len(rows) == 15
+
+
+def _traced(work):
+    """What the work returns, and the most MB that NumPy held while it ran."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def _long_texts(many, words):
+    import numpy as np
+    import pyarrow as pa
+
+    names = pa.array([f"w{k}" for k in range(300)])
+    codes = np.random.default_rng(1).integers(0, 300, many * words)
+    return pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * words), names.take(pa.array(codes)))
+
+
+def test_a_batch_of_long_texts_is_scored_in_bounded_memory():
+    import pyarrow as pa
+
+    from emblema.operators.topk import WeightedTerms
+
+    names = [f"w{k}" for k in range(300)]
+    queries = pa.table({"_query": [*range(40)], "_terms": [names[k * 7 : k * 7 + 20] for k in range(40)], "_weights": [[1.0 + k] * 20 for k in range(40)]})
+    kernel = WeightedTerms(queries, (1.2, 0.75, 400.0))
+    batch = pa.RecordBatch.from_arrays([_long_texts(3000, 400)], names=["_tokens"])
+    scores, peak = _traced(lambda: kernel.score(batch))
+    for row in (0, 163, 164, 2999):
+        assert str(scores[row].tolist()) == str(kernel.score(batch.slice(row, 1))[0].tolist())
+    assert peak < 20
+
+
+def test_a_batch_of_long_texts_is_counted_in_bounded_memory(spark):
+    import pyarrow as pa
+
+    from emblema.operators.postings import term_counts
+
+    texts = _long_texts(2000, 400)
+    tokens = spark.createDataFrame(pa.table({"doc_id": [*range(2000)], "t": texts}), "doc_id bigint, t array<string>").coalesce(1)
+    counted = {r.doc_id: (r.length, dict(zip(r.terms, r.counts))) for r in term_counts(tokens, "t").collect()}
+    assert len(counted) == 2000
+    for doc in (0, 624, 625, 1999):
+        want = {}
+        for w in texts[doc].as_py():
+            want[w] = want.get(w, 0) + 1
+        assert counted[doc] == (400, want)
+
+    from emblema.operators.postings import COUNTED_AT_ONCE, count_terms
+    from emblema.operators.topk import stretches
+
+    batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+    parts = list(stretches(texts, COUNTED_AT_ONCE))
+    assert parts[0] == (0, 625) and parts[-1][1] == 2000 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    _, peak = _traced(lambda: [count_terms(batch.slice(a, b - a), "t", []).num_rows for a, b in parts])
+    _, whole = _traced(lambda: count_terms(batch, "t", []).num_rows)
+    assert peak < 0.5 * whole
