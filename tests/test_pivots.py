@@ -100,3 +100,17 @@ def test_partial_results_are_merged_in_two_steps_from_many_tasks(spark, monkeypa
     monkeypatch.setattr(topk, "MERGED_AT_ONCE", 4)
     two, more = answer()
     assert one == two and more == 2 * exchanges  # one exchange more, in the first plan and the final one
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Items of small files stay where they are; what is sent is the table of cells, and the best only if they are few."""
+    items = spark.range(200).select(F.col("id").cast("int").alias("_item"), F.array(F.lit(1.0)).alias("_vector"), (F.col("id") % 4).cast("int").alias("_cell"))
+    items.write.parquet(f"{tmp_path}/items")
+    held = spark.read.parquet(f"{tmp_path}/items")
+    plan = pivots._item_rows(held, pivots._part_table(spark, {c: (c, 1) for c in range(4)}))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    best = held.select(F.col("_item").alias("_query"), "_item", F.lit(1.0).alias("_score"), F.lit(1).alias("_rank"))
+    for rows, join in ((200, "BroadcastHashJoin"), (199, "SortMergeJoin")):
+        monkeypatch.setattr("emblema.session.BROADCAST_ROWS", rows)
+        kept = pivots.with_payload(best, held, ["_item", "_vector"], "query_id", "score")
+        assert join in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 200
