@@ -160,3 +160,18 @@ def test_items_are_cleared_by_what_is_known_best(spark):
         ("4", "item", "Birkenhein"): [(1, "2"), (2, "1")],
         ("i5", "item", "Birkenwald"): [(1, "1"), (2, "2")],
     }
+
+
+def test_items_to_clear_are_computed_once(spark):
+    encoder, schema = encode.ngram_encoder(64), "id string, application_number string, mark_name string, nice_classes array<int>, status string, applicant_name string, applicant_country string"
+    register = spark.createDataFrame([("p1", "1", "Birkenwald", [9], "registered", "", ""), ("p2", "2", "Birkenfeld", [9], "registered", "", "")], schema)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(name):
+        seen.add(1)
+        return name
+
+    counted = F.udf(count, "string").asNondeterministic()
+    items = spark.createDataFrame([(f"i{i}", str(i), "Birkenhein") for i in range(1, 21)], "id string, application_number string, mark_name string")
+    found = watch.clear_items(items.withColumn("mark_name", counted("mark_name")), register.limit(0), register, encode.embed_marks(register, encoder), encoder, k=1)
+    assert found.count() == 20 and seen.value == 20
