@@ -175,3 +175,14 @@ def test_items_to_clear_are_computed_once(spark):
     items = spark.createDataFrame([(f"i{i}", str(i), "Birkenhein") for i in range(1, 21)], "id string, application_number string, mark_name string")
     found = watch.clear_items(items.withColumn("mark_name", counted("mark_name")), register.limit(0), register, encode.embed_marks(register, encoder), encoder, k=1)
     assert found.count() == 20 and seen.value == 20
+
+
+def test_pages_that_landed_in_one_file_are_parsed_by_all_cores(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p/>").alias("html"), F.current_timestamp().alias("landed_at"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/in")
+    read = watch.stream_pages(spark, f"{tmp_path}/in").select("page_id", F.spark_partition_id().alias("task"))
+    run = read.writeStream.format("memory").queryName("dealt").trigger(availableNow=True).start()
+    run.awaitTermination()
+    dealt = spark.table("dealt")
+    assert dealt.select("page_id").distinct().count() == dealt.count() == 40
+    assert dealt.select("task").distinct().count() > 1
