@@ -186,3 +186,21 @@ def test_pages_that_landed_in_one_file_are_parsed_by_all_cores(spark, tmp_path):
     dealt = spark.table("dealt")
     assert dealt.select("page_id").distinct().count() == dealt.count() == 40
     assert dealt.select("task").distinct().count() > 1
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    cores, home = spark.sparkContext.defaultParallelism, str(tmp_path)
+    rows = spark.range(1000).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("text"))
+    textfiles.write_texts(rows, f"{home}/in")
+    read = texts.read_corpus(spark, f"{home}/in")
+    assert read.rdd.getNumPartitions() <= 2 * cores and read.count() == 1000
+    stream = textfiles.stream_texts(spark, f"{home}/in", files_per_trigger=600).withColumn("task", F.spark_partition_id())
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with textfiles.many_small_files(spark):
+        run = stream.writeStream.format("memory").queryName("small").trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert [json.loads(str(p.json))["numInputRows"] for p in run.recentProgress] == [600, 400]
+    found = spark.table("small")
+    assert sorted(int(r["text"]) for r in found.collect()) == list(range(1000))
+    assert found.select("task").distinct().count() <= 2 * cores
