@@ -156,3 +156,14 @@ def test_legal_index_is_read_instead_of_the_passages(spark):
         assert found == want
     with pytest.raises(ValueError, match="mode"):
         legal.retrieve_stored(index, asked, "other")
+
+
+def test_paragraphs_do_not_carry_the_text_of_their_article(spark, capsys):
+    corpus = spark.createDataFrame([("a", "Article 1\nBees\n1. Hives.\n2. Honey.\n3.  \n")], "source string, text string")
+    passages = legal.split_passages(corpus)
+    passages.explain()
+    (cut,) = (line for line in capsys.readouterr().out.splitlines() if "Generate" in line and "_p#" in line)
+    carried = cut[cut.index("), [") :]
+    assert "heading#" in carried and "_s#" not in carried
+    held = [tuple(r) for r in passages.select("article", "heading", "text").orderBy("passage_id").collect()]
+    assert held == [(1, "Article 1", "Bees"), (1, "Article 1", "1. Hives."), (1, "Article 1", "2. Honey."), (1, "Article 1", "3.")]
