@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emblema.operators import lexical, postings
 from emblema.plans import legal
-from emblema.session import fresh_path
+from emblema.session import fresh_path, settled
 
 WORDS = ["the", "of", *[f"w{k}" for k in range(60)]]
 
@@ -167,3 +167,18 @@ def test_paragraphs_do_not_carry_the_text_of_their_article(spark, capsys):
     assert "heading#" in carried and "_s#" not in carried
     held = [tuple(r) for r in passages.select("article", "heading", "text").orderBy("passage_id").collect()]
     assert held == [(1, "Article 1", "Bees"), (1, "Article 1", "1. Hives."), (1, "Article 1", "2. Honey."), (1, "Article 1", "3.")]
+
+
+def test_words_are_not_shuffled_to_find_replaced_texts(spark, monkeypatch):
+    index = postings.temporary_postings(frame(spark, texts(5, range(60))), shard_chars=1000, keep=["name"])
+    plans = []
+
+    def written(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return settled(df, name)
+
+    monkeypatch.setattr(postings, "settled", written)
+    places, lost = postings._dead(index, frame(spark, texts(6, range(40, 70))))
+    assert sorted(plans)[0][0] == "postings-dead" and "terms#" not in sorted(plans)[0][1]
+    assert sum(len(r["numbers"]) for r in places.collect()) == lost.count() == 20
+    assert lost.columns == ["segment", "shard", "number", "length", "terms"]
