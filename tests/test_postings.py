@@ -182,3 +182,16 @@ def test_words_are_not_shuffled_to_find_replaced_texts(spark, monkeypatch):
     assert sorted(plans)[0][0] == "postings-dead" and "terms#" not in sorted(plans)[0][1]
     assert sum(len(r["numbers"]) for r in places.collect()) == lost.count() == 20
     assert lost.columns == ["segment", "shard", "number", "length", "terms"]
+
+
+def test_postings_of_a_small_index_are_written_by_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BUCKET_CHARS", 4000)
+    index = postings.temporary_postings(frame(spark, texts(7, range(300))), shard_chars=400, keep=["name"])
+    (segment,) = index.segments
+    at = F.input_file_name()
+    files = index._read(segment, "postings").select("bucket", at.alias("file"), "shard").distinct().groupBy("bucket", "file").agg(F.collect_set("shard").alias("shards")).collect()
+    pieces = -(-2 * spark.sparkContext.defaultParallelism // segment.buckets)
+    assert segment.buckets > 1 and len(files) == segment.buckets * pieces
+    for bucket in range(segment.buckets):
+        held = [s for r in files if r["bucket"] == bucket for s in r["shards"]]
+        assert len(held) == len(set(held))
