@@ -1,6 +1,7 @@
 """Batch nearest-neighbour joins by pivots beside brute force: clusters, copies, ties, odd vectors, many groups."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,45 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch, tmp_path):
         monkeypatch.setattr("emblema.session.BROADCAST_ROWS", rows)
         kept = pivots.with_payload(best, held, ["_item", "_vector"], "query_id", "score")
         assert join in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 200
+
+
+def test_held_items_equal_brute_force_with_floors(monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 16)
+    monkeypatch.setattr(pivots, "BLOCK", 32)
+    monkeypatch.setattr(pivots, "EXACT_AT_ONCE", 50)
+    rng = np.random.default_rng(7)
+    vectors = np.array(clusters(rng, 10, 30, 6, 0.1) + [np.ones(6)] * 150 + [[0.0] * 6, [np.nan] * 6])
+    ids = [f"i{n}" for n in rng.permutation(len(vectors))]
+    asked = np.array([*rng.normal(size=(40, 6)), np.ones(6), -np.ones(6), np.zeros(6)])
+    held = pivots.Held(pa.array(ids), vectors, 5)
+    scores = topk.round_score(topk._unit_rows(asked) @ topk._unit_rows(vectors).T)
+    want = [sorted((-s, i) for s, i in zip(row.tolist(), ids) if s == s) for row in scores]
+
+    def found(*floors):
+        out = [[] for _ in asked]
+        for row, number, score in zip(*held.best(asked, *floors)):
+            out[row].append((-float(score), held.ids[int(number)].as_py()))
+        return out
+
+    assert found() == [w[:5] for w in want]
+    # a floor with an id: nothing that comes after it; without one, all that reach its score
+    floor = np.array([-w[2][0] if w else np.nan for w in want])
+    assert found(floor, pa.array([w[2][1] if w else None for w in want])) == [w[:3] for w in want]
+    reach = [[x for x in w if w and -x[0] >= -w[2][0]][:5] for w in want]
+    assert found(floor, pa.array([None] * len(want), pa.string())) == reach
+
+
+def test_copies_are_not_scored_one_by_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    names, many = rng.normal(size=(20, 16)), []
+    held = pivots.Held(pa.array(np.arange(20_000)), names[np.arange(20_000) % 20], 10)
+    rounded = topk.round_score
+    monkeypatch.setattr(topk, "round_score", lambda s: many.append(len(s)) or rounded(s))
+    row, number, score = held.best(names)
+    assert (number.reshape(20, 10) == np.arange(0, 200, 20) + np.arange(20)[:, None]).all() and (score == 1.0).all()
+    assert sum(many) < 20 * 1000 / 10  # each query has 1,000 copies
+
+
+def test_small_cells_share_a_group():
+    counts = {0: 10, 1: 70, 2: 30, 3: 20, 4: 100, 5: 1}
+    assert pivots._packed(counts, 50, [0, 1, 2, 3, 4, 5]) == {0: (0, 1), 1: (1, 2), 2: (3, 1), 3: (3, 1), 4: (4, 2), 5: (6, 1)}
