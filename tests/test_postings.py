@@ -1,6 +1,7 @@
 """The stored word index beside search that reads the texts, through additions, removals and merges."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -195,3 +196,28 @@ def test_postings_of_a_small_index_are_written_by_all_cores(spark, monkeypatch):
     for bucket in range(segment.buckets):
         held = [s for r in files if r["bucket"] == bucket for s in r["shards"]]
         assert len(held) == len(set(held))
+
+
+def test_texts_are_not_shuffled_to_their_shards(spark, monkeypatch):
+    made, number = [], postings.number_texts
+    monkeypatch.setattr(postings, "number_texts", lambda *a: made.append(number(*a)) or made[0])
+    docs = frame(spark, texts(11, range(200))).repartition(3)
+    index = postings.temporary_postings(docs, shard_chars=600, keep=["name"])
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the one of docs
+    held = index._all("documents").select("shard", "number", "doc_id").collect()
+    by = {}
+    for r in sorted(held, key=lambda r: (r["shard"], r["number"])):
+        by.setdefault(r["shard"], []).append(r["doc_id"])
+    assert len(by) > 6 and all(ids == sorted(ids) for ids in by.values())
+    assert {(r["shard"], r["number"]) for r in held} == {(s, n) for s, ids in by.items() for n in range(len(ids))}
+
+
+@pytest.mark.parametrize("longest", [40, 70_000])
+def test_packed_postings_are_what_they_were(longest):
+    rows = shard([Counter({f"w{k}": 1 + k % 3 for k in range(n % 7)}) + Counter({"all": 1}) for n in range(500)] + [Counter({"long": longest})])
+    packed = postings.pack(rows, 3)
+    assert packed.column("wide").to_pylist() == [longest >= 1 << 16] * rows.num_rows and set(packed.column("piece").to_pylist()) == {3}
+    batch = pa.concat_tables([packed, postings.pack(shard([Counter({"all": 2})]), 1)]).combine_chunks().to_batches()[0].slice(1)
+    got = {r["term"]: r for b in postings.unpack(batch.slice(0, rows.num_rows - 1), ["shard", "term"]) for r in b.to_pylist()}
+    assert got == {r["term"]: r for r in rows.to_pylist()[1:]}
+    assert sum(b.num_rows for b in postings.unpack(batch, ["term"])) == batch.num_rows
