@@ -204,3 +204,20 @@ def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
     found = spark.table("small")
     assert sorted(int(r["text"]) for r in found.collect()) == list(range(1000))
     assert found.select("task").distinct().count() <= 2 * cores
+
+
+def test_the_log_of_a_stream_does_not_grow_with_the_square_of_its_files(spark, tmp_path):
+    rows = [(f"{k:02d}.txt", f"text {k:02d}") for k in range(31)]
+    textfiles.write_texts(spark.createDataFrame(rows, "name string, text string"), str(tmp_path / "in"))
+    stream = textfiles.stream_texts(spark, str(tmp_path / "in"), files_per_trigger=1)
+
+    def run():
+        out = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        with textfiles.many_small_files(spark):
+            out.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [t for _, t in rows]
+    assert sorted(p.name for p in (tmp_path / "checkpoint/sources/0").glob("*.compact")) == ["19.compact", "29.compact"]
+    textfiles.write_texts(spark.createDataFrame([("31.txt", "text 31")], "name string, text string"), str(tmp_path / "in"), mode="overwrite")
+    assert run() == [*(t for _, t in rows), "text 31"]
